@@ -1,0 +1,101 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from vecspark.llm.packing import Packer, at_powers, pack
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def check(rows, got, limit=1024, segments=256, padding=0):
+    tokenizer = Tokenizer.from_file(PATH)
+    want = defaultdict(list)
+    for doc, text in rows:
+        want[doc].append(np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+    assert set(pieces) == set(want)
+    for doc, ps in pieces.items():
+        if len(want[doc]) > 1:
+            continue
+        ids, at = want[doc][0], 0
+        for p in sorted(ps, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+    lost = 0
+    for ps in sequences.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= limit and len(ps) <= segments
+        lost += 0 if at & (at - 1) == 0 else limit - at
+    assert lost <= padding
+    assert sum(r.length for r in got) == sum(len(x) for v in want.values() for x in v)
+
+
+ROWS = [(None, "n"), (-3, None), (-2, ""), (-1, "very long text here " * 20_000)] + [(i, f"some words {i} " * (i * 7 % 400)) for i in range(300)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, 5) for r in rows], "doc_id long, text string, start int, quiet int")
+
+
+@pytest.mark.parametrize("block", [3000, 2_000_000])
+def test_pack(spark, block):
+    check(ROWS, pack(frame(spark, ROWS), PATH, block_tokens=block).collect())
+
+
+def test_segment_limit_and_repeats(spark):
+    rows = [(i, "a") for i in range(700)] + [(1000, "same")] * 4
+    check(rows, pack(frame(spark, rows), PATH, max_segments=16).collect(), segments=16)
+
+
+def test_loss_limit(spark):
+    rows = [(i, "some words here " * (5 + i % 60)) for i in range(200)]
+    df = spark.createDataFrame([(*r, 10 * (r[0] % 9)) for r in rows], "doc_id long, text string, prompt int")
+    got = pack(df, PATH, max_loss=300, prompt="prompt").collect()
+    check(rows, got)
+    loss = defaultdict(int)
+    for r in got:
+        loss[r.sequence_id] += r.loss_tokens
+    quiet = sum(min(10 * (i % 9), len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert max(loss.values()) <= 300 and sum(loss.values()) == sum(r.length for r in got) - quiet
+
+
+def test_whole_examples(spark):
+    rows = [(i, "some words here " * (5 + i % 60)) for i in range(300)]
+    got = pack(frame(spark, rows).coalesce(1), PATH, cut=False).collect()
+    assert all(r.start == 0 and r.length == r.doc_tokens for r in got)
+    check(rows, got, padding=1024 * 3)
+    with pytest.raises(Exception, match="exceeds the limits"):
+        pack(frame(spark, [(1, "long " * 3000)]), PATH, cut=False).collect()
+
+
+def test_empty(spark):
+    assert pack(frame(spark, []), PATH).collect() == []
+
+
+def test_dot_product_packs_all_dimensions():
+    rng, p = random.Random(2), Packer((100, 8, 50), cut=False)
+    items = [(i, 0, n, rng.randint(0, n)) for i, n in enumerate(rng.randint(1, 60) for _ in range(400)) if n <= 50]
+    for x in items:
+        p.add(*x)
+    out = [s for s, _ in p.sequences()]
+    assert sorted(x for s in out for x in s) == sorted(items)
+    assert all(sum(x[2] for x in s) <= 100 and len(s) <= 8 and sum(x[2] - x[3] for x in s) <= 50 for s in out)
+    least = max(sum(x[2] for x in items) / 100, len(items) / 8, sum(x[2] - x[3] for x in items) / 50)
+    assert len(out) <= 1.15 * least + 1
+
+
+def test_at_powers():
+    out = list(at_powers([("a", 0, 5, 2), ("b", 3, 6, 0)]))
+    assert [sum(x[2] for x in s) for s in out] == [8, 2, 1] and out[0] == [("a", 0, 5, 2), ("b", 3, 3, 0)]

@@ -4,23 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm.common import table
+from vecspark.llm.common import shared_dir, table
 from vecspark.llm.exact_dedup import exact_dedup
+from vecspark.llm.packing import pack
 from vecspark.llm.sharding import hypergeometric_shards
+from vecspark.llm.token_file import read_tokens, write_tokens
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024, end_id=0)
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypergeometric_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_hypergeometric_shards)}
+    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards)}
 
 
 #: DuckDB SQL of the rows that a query returns, where SQL can say it.
