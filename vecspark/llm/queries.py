@@ -13,6 +13,7 @@ from vecspark.llm.language_id import identify
 from vecspark.llm.packing import pack
 from vecspark.llm.rule_ensemble import classify
 from vecspark.llm.sharding import hypergeometric_shards
+from vecspark.llm.simhash import near_duplicates
 from vecspark.llm.token_file import read_tokens, write_tokens
 
 
@@ -38,12 +39,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op7_language_id, op9_rule_ensemble)}
+    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op7_language_id, op8_simhash, op9_rule_ensemble)}
 
 
 #: DuckDB SQL of the rows that a query returns, where SQL can say it.
