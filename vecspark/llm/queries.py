@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecspark.llm.common import shared_dir, table
 from vecspark.llm.exact_dedup import exact_dedup
+from vecspark.llm.html_template import main_text
 from vecspark.llm.language_id import identify
 from vecspark.llm.packing import pack
 from vecspark.llm.rule_ensemble import classify
@@ -47,8 +48,12 @@ def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op7_language_id, op8_simhash, op9_rule_ensemble)}
+    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op7_language_id, op8_simhash, op9_rule_ensemble, op10_html_template)}
 
 
 #: DuckDB SQL of the rows that a query returns, where SQL can say it.
