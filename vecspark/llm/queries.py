@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vecspark.llm.common import shared_dir, table
 from vecspark.llm.exact_dedup import exact_dedup
+from vecspark.llm.fertility import fertility_rules
 from vecspark.llm.html_template import main_text
 from vecspark.llm.language_id import identify
 from vecspark.llm.packing import pack
@@ -36,6 +37,10 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypergeometric_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility_rules(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op7_language_id, op8_simhash, op9_rule_ensemble, op10_html_template)}
+    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op6_fertility_rules, op7_language_id, op8_simhash, op9_rule_ensemble, op10_html_template)}
 
 
 #: DuckDB SQL of the rows that a query returns, where SQL can say it.
