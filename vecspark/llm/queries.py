@@ -14,6 +14,7 @@ from vecspark.llm.html_template import main_text
 from vecspark.llm.language_id import identify
 from vecspark.llm.packing import pack
 from vecspark.llm.rule_ensemble import classify
+from vecspark.llm.segmentation import segmentations
 from vecspark.llm.sharding import hypergeometric_shards
 from vecspark.llm.simhash import near_duplicates
 from vecspark.llm.token_file import read_tokens, write_tokens
@@ -33,6 +34,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), max_tokens=1024, end_id=0)
 
 
+def op4_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, digest=True)
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypergeometric_shards(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op5_hypergeometric_shards, op6_fertility_rules, op7_language_id, op8_simhash, op9_rule_ensemble, op10_html_template)}
+    return {f.__name__: f for f in (op1_token_file, op2_exact_dedup, op3_pack, op4_segmentations, op5_hypergeometric_shards, op6_fertility_rules, op7_language_id, op8_simhash, op9_rule_ensemble, op10_html_template)}
 
 
 #: DuckDB SQL of the rows that a query returns, where SQL can say it.
