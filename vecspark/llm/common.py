@@ -74,3 +74,47 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+#: Bits of a broadcast filter: 1 MB at most, whatever the input. It lets through all rows it was made of, and others as it
+#: fills up.
+FILTER_BITS = 1 << 23
+
+
+def _slot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def bit_filter(rows: DataFrame, key: str) -> DataFrame:
+    """(bucket, bits): a bitmap over the hashes of a column, FILTER_BITS / 32768 rows of 4 KB at most."""
+    return rows.groupBy(F.bitmap_bucket_number(_slot(key)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot(key))).alias("bits"))
+
+
+def marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows with ``in_filter``: false only if the key is surely not among those of the filter."""
+    buckets = bitmap.select(F.col("bucket").alias("filter_bucket"), F.col("bits").alias("filter_bits"))
+    at = rows.withColumn("filter_at", F.bitmap_bit_position(_slot(key)))
+    joined = at.join(F.broadcast(buckets), F.bitmap_bucket_number(_slot(key)) == F.col("filter_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(filter_bits, cast(filter_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.getbit(byte, F.pmod("filter_at", F.lit(8)).cast("int"))
+    return joined.withColumn("in_filter", F.coalesce(bit == 1, F.lit(False))).drop("filter_bucket", "filter_bits", "filter_at")
+
+
+def passing(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
+    """The rows whose key may be in the filter."""
+    return marked(rows, key, bitmap).where("in_filter").drop("in_filter")
+
+
+def matching(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ``ids`` (doc_id). Texts of few other rows are shuffled."""
+    return passing(rows, "doc_id", bit_filter(ids, "doc_id")).join(ids, "doc_id", "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids`` (doc_id); rows without a doc_id stay. Only rows that may be among them are
+    shuffled. ``rows`` may have any columns."""
+    names = rows.columns
+    packed = rows.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"))
+    either = marked(packed, "doc_id", bit_filter(ids, "doc_id"))
+    kept = either.where("not in_filter").union(either.where("in_filter").join(ids, "doc_id", "left_anti").select(either.columns))
+    return kept.select("whole.*")

@@ -22,14 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import shared_dir, stored, text_of, without_space
+from vecspark.llm.common import bit_filter, passing, shared_dir, stored, text_of, without_space
 
 #: Hits of one group that are verified against one copy of the kept text.
 HITS_PER_TASK = 2_000
 #: Runs that one level of the index holds before they are merged into the next.
 FANOUT = 8
-#: Bits of the broadcast filter: 1 MB at most, whatever the input. It lets through all hits, and others as it fills up.
-FILTER_BITS = 1 << 23
 RUN = "digest string, n long, points int, keep_id long, sha string"
 
 
@@ -83,24 +81,6 @@ class DigestIndex:
         return self.merged(self._read([run for runs in self.levels for run in runs])).drop("sha")
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-
-
-def digest_filter(digests: DataFrame) -> DataFrame:
-    """(bucket, bits): a bitmap over the digests, FILTER_BITS / 32768 rows of 4 KB at most."""
-    slot = _slot(F.col("digest"))
-    return digests.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-
-
-def passing(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows whose digest may be in the filter."""
-    at = F.bitmap_bit_position(_slot(F.col("digest")))
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(filter_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return (rows.withColumn("bucket", F.bitmap_bucket_number(_slot(F.col("digest")))).withColumn("filter_at", at)
-            .join(F.broadcast(bitmap), "bucket").where(F.getbit(byte, F.pmod("filter_at", F.lit(8)).cast("int")) == 1).drop("bucket", "bits", "filter_at"))
-
-
 def _with_bytes(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.char_length("text").cast("int").alias("points"), without_space(F.col("text")).alias("bytes"))
     return rows.withColumn("digest", digest(F.col("bytes")))
@@ -130,7 +110,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, me
         index.flush(_with_bytes(part, digest).withColumn("sha", sha256(F.col("bytes"))))
     rows = index.rows()
     hits = stored(index.entries().where("n > 1").withColumnRenamed("points", "keep_points"), "hits")
-    found = stored(passing(_with_bytes(docs, digest), digest_filter(hits)).join(hits, "digest"), "found")
+    found = stored(passing(_with_bytes(docs, digest), "digest", bit_filter(hits, "digest")).join(hits, "digest"), "found")
     collided = stored(_verified(found).where("not same").select("digest").distinct(), "collided")
     clean = rows.join(hits, "digest", "left")
     collisions = not collided.isEmpty()

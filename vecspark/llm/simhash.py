@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.bk_tree import BkForest
-from vecspark.llm.common import bounded_batches, small_batches, stored, text_of, texts
+from vecspark.llm.common import bounded_batches, matching, small_batches, stored, text_of, texts
 from vecspark.llm.components import connected_components
 
 RADIUS, WORDS, SEED = 4, 4, 42
@@ -157,3 +157,131 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
     linked = stored(joined.join(lowest, "root").select("fp", "component_id"), "linked")
     classes = owners.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "owner").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: For similar texts: words of a shingle, similarity from which texts are linked, bits within which fingerprints of such
+#: texts lie (about 10 on average at 0.8), bands of the min-hash that deals texts into shards, and hashes of a band.
+TEXT_WORDS, SIMILARITY, TEXT_RADIUS, BANDS, BAND_HASHES = 5, 0.8, 20, 14, 3
+#: Shards up to this size have all their pairs within the radius verified; in larger ones each text is verified against its
+#: nearest neighbour and against the HUBS most central texts.
+ALL_PAIRS, HUBS = 24, 6
+_rng = np.random.default_rng(12)
+_FLIP, _ODD = (_rng.integers(0, 1 << 64, BANDS * BAND_HASHES, np.uint64) | np.uint64(x) for x in (0, 1))
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band, equal for two sets with probability similarity ** BAND_HASHES."""
+    low = np.array([((hashes ^ f) * o).min() for f, o in zip(_FLIP, _ODD, strict=True)], np.uint64).reshape(BANDS, BAND_HASHES)
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(BAND_HASHES):
+        key = (key ^ (key >> np.uint64(29)) ^ low[:, k]) * _ODD[k]
+    return key.view(np.int64)
+
+
+def _sketches(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, same, bands) of the rows with words; ``same`` is a hash of the set of shingles."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
+                hashes = np.unique(shingle_hashes(text, words))
+                if len(hashes):
+                    rows.append((doc, fingerprint(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), bands_of(hashes)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "fp", "same", "bands"])
+
+    return docs.where("doc_id is not null").select("doc_id", text_of().alias("text")).mapInArrow(found, "doc_id long, fp long, same long, bands array<long>")
+
+
+def central(values: np.ndarray) -> np.ndarray:
+    """The HUBS fingerprints that lie closest to the bitwise majority of all: copies with edits of their own lie around
+    what they were made from."""
+    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    middle = np.packbits(2 * bits > len(values), bitorder="little").view("<u8")[0]
+    return np.argsort(np.bitwise_count(values ^ middle), kind="stable")[:HUBS]
+
+
+def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
+    """Pairs (a, b) of owners that share a band and lie within TEXT_RADIUS: all of a small shard; in a large one each text
+    with its nearest neighbour in the shard's BK-tree and with the central ones."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("choice"), F.element_at("bands", i + 1).alias("bits")))
+    dealt = sharded(owners.select("owner", "fp", "bands"), keys, shard_rows)
+    # Most keys belong to one text; they are dropped before rows are shuffled and sorted by key.
+    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    dealt = dealt.join(shared, "key").select("owner", "fp", F.col("key.choice").alias("choice"), F.col("key.bits").alias("bits"), "part", "other")
+    order = ["choice", "bits", "part", "other"]
+    dealt = dealt.repartition(*order).sortWithinPartitions(*order, "fp", "owner")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, shard in whole_shards(batches, order, ["owner", "fp"]):
+            owner, values = columns["owner"], columns["fp"].view(np.uint64)
+            # Texts with one fingerprint are a chain; the first of them stands for it in the tree.
+            twin = np.flatnonzero((shard[1:] == shard[:-1]) & (values[1:] == values[:-1]))
+            a, b = [owner[twin]], [owner[twin + 1]]
+            alone = np.delete(np.arange(len(values)), twin + 1)
+            own, distinct, number = owner[alone], values[alone], shard[alone]
+            sizes = np.bincount(number)[number]
+            few = np.flatnonzero((sizes <= ALL_PAIRS) & (sizes > 1))
+            for gap in range(1, ALL_PAIRS):
+                low, high = few[:-gap], few[gap:]
+                near = (number[low] == number[high]) & (np.bitwise_count(distinct[low] ^ distinct[high]) <= TEXT_RADIUS)
+                a.append(own[low[near]])
+                b.append(own[high[near]])
+            many = np.flatnonzero(sizes > ALL_PAIRS)
+            at, nearest = BkForest(distinct[many], number[many]).nearest_before(TEXT_RADIUS)
+            a.append(own[many[at]])
+            b.append(own[many[nearest]])
+            cuts = [*np.flatnonzero(np.diff(number[many], prepend=-1)).tolist(), len(many)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                inside = many[low:high]
+                for hub in central(distinct[inside]).tolist():
+                    near = np.bitwise_count(distinct[inside] ^ distinct[inside[hub]]) <= TEXT_RADIUS
+                    a.append(own[inside[near]])
+                    b.append(np.full(int(near.sum()), own[inside[hub]]))
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(searched, "a long, b long").where("a <> b").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = stored(matching(docs.select("doc_id", text_of().alias("text")), needed).mapInArrow(sets, "doc_id long, hashes array<long>").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "shingle-sets")
+    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, words: int = TEXT_WORDS, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(doc_id, component_id) of the documents with words: the smallest doc_id that links of similar texts reach.
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Candidates share one
+    of BANDS min-hash keys, which texts at 0.8 fail to with a probability of 0.00004, and lie within TEXT_RADIUS bits by
+    SimHash, found by BK-trees; each candidate is verified by its whole sets. Texts with one set of shingles are one vertex.
+    In a large shard, where all pairs would grow with its square, each text is verified against its nearest neighbour and the
+    most central texts in each of the shards it is in. Rows without a doc_id or without words are left out."""
+    bounded_batches(docs.sparkSession)
+    rows = stored(_sketches(docs, words), "sketches")
+    owners = stored(rows.groupBy("same").agg(F.min("doc_id").alias("owner")), "set-owners")
+    heads = stored(rows.join(owners.withColumnRenamed("owner", "doc_id"), ["same", "doc_id"]).groupBy(F.col("doc_id").alias("owner")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sketch-owners")
+    pairs = stored(_candidates(heads, shard_rows), "candidates")
+    roots = connected_components(_verified(docs, pairs, words, similarity))
+    classes = owners.join(roots, owners["owner"] == roots["node"], "left").select("same", F.coalesce("root", "owner").alias("component_id"))
+    return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
