@@ -119,9 +119,9 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, max_segme
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from vecspark.llm.tokens import WordTokenizer
+        from vecspark.llm.tokens import shared_tokenizer
 
-        encoder, end = WordTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = shared_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << SEQUENCE_BITS
         packer, bodies, held = Packer(limits, cut), {}, 0
         docs_seen = 0

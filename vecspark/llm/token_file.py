@@ -127,9 +127,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from vecspark.llm.tokens import WordTokenizer
+        from vecspark.llm.tokens import shared_tokenizer
 
-        encoder, part, end = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        encoder, part, end = shared_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         done = number = 0
         names: list[int | None] = []
         ends: list[int] = []

@@ -7,8 +7,10 @@ unit is split by the tokenizer's own pattern and goes to its model, without the
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -28,6 +30,19 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+@lru_cache(maxsize=2)
+def shared_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a worker process, so that what it remembers outlasts a task."""
+    return WordTokenizer(path)
+
+
 class WordTokenizer:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, with special tokens' strings as plain text."""
 
@@ -44,15 +59,15 @@ class WordTokenizer:
     def _new(self, unit: str) -> bytes:
         # Strings below U+0130 are in normal form C, and their lower case is that of each character alone.
         if max(unit) >= "\u0130":
-            return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+            return _bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
         out = []
         for piece in self.pattern.findall(unit.lower() if self.lowers else unit):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))], "<u4").tobytes()
+                ids = _bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))])
                 self.pieces[piece] = ids
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
