@@ -6,6 +6,7 @@ at a time publishes the next. Ordinals follow the order of writes and break ties
 from __future__ import annotations
 
 import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
@@ -60,11 +61,16 @@ class Collection:
 
     @staticmethod
     def new_manifest(config: CollectionConfig) -> dict:
-        return {"version": 0, "config": config.to_dict(), "next_ord": 0, "last_lsn": 1, "segments": [], "snapshot": None, "index": None, "stored": 0, "live": 0, "compactions": 0}
+        return {"version": 0, "config": config.to_dict(), "next_ord": 0, "last_lsn": 1, "segments": [], "snapshot": None, "index": None, "remap": None, "stored": 0, "live": 0, "compactions": 0}
 
     def _at(self, name: str) -> str:
         return self.files.path(f"{self.folder}/{name}")
 
+    @staticmethod
+    def _fresh(kind: str) -> str:
+        """A name that no other writer has: what loses the race for a version must not touch what won it."""
+        return f"{kind}-{uuid.uuid4().hex}"
+
     def log(self, after: int = 0, manifest: dict | None = None) -> DataFrame:
         """The change log of the version beyond an lsn; its segments' row counts were checked when they were written."""
         paths = [self._at(s["path"]) for s in (manifest or self.manifest)["segments"] if s["to"] > after]
@@ -142,8 +148,8 @@ class Collection:
 
     def _append(self, rows: DataFrame) -> int:
         m = self.manifest
-        path = f"log-{m['last_lsn'] + 1:020d}-{m['version'] + 1}"
-        rows.write.mode("overwrite").parquet(self._at(path))
+        path = self._fresh(f"log-{m['last_lsn'] + 1:020d}")
+        rows.write.parquet(self._at(path))
         written = self.spark.read.schema(LOG).parquet(self._at(path))
         per_id = written.groupBy("id").agg(F.count_if(F.col("op") == changes.UPSERT).alias("n"), F.max_by("op", "lsn").alias("last"))
         # Only ids are read of what is there, and only those of the batch count.
@@ -187,16 +193,16 @@ class Collection:
         with self._writer:
             m = self.manifest
             moved = changes.dense_order(self.points().withColumnRenamed("ord", "old_ord"), "old_ord", "ord")
-            path = f"remap-{m['version'] + 1}"
+            path = self._fresh("remap")
             remap = moved.select(F.col("old_ord").alias("ord"), F.col("ord").alias("new_ord"))
-            remap.write.mode("overwrite").parquet(self._at(path))
-            self._rewrite(moved.drop("old_ord"), {"stored": m["live"], "next_ord": m["live"], "compactions": m["compactions"] + 1, "index": None})
+            remap.write.parquet(self._at(path))
+            self._rewrite(moved.drop("old_ord"), {"stored": m["live"], "next_ord": m["live"], "compactions": m["compactions"] + 1, "index": None, "remap": {"path": path}})
             return self.spark.read.parquet(self._at(path))
 
     def _rewrite(self, points: DataFrame, changed: dict) -> None:
         m = self.manifest
-        path = f"snapshot-{m['last_lsn']:020d}-{m['version'] + 1}"
-        points.select("id", "ord", "vector", *MAPS).write.mode("overwrite").parquet(self._at(path))
+        path = self._fresh(f"snapshot-{m['last_lsn']:020d}")
+        points.select("id", "ord", "vector", *MAPS).write.parquet(self._at(path))
         self._publish({**m, "snapshot": {"path": path, "lsn": m["last_lsn"]}, "segments": [], **changed})
         self.manifests.prune(self.durability.keep_snapshots)
 
@@ -204,8 +210,8 @@ class Collection:
         """Builds graphs over the live points; later points are scanned until it is called again."""
         with self._writer:
             m = self.manifest
-            path = f"index-{m['version'] + 1}"
-            ann.build_index(self.points().select("ord", "vector"), self.config.metric, self.config.hnsw, shard_rows).write.mode("overwrite").parquet(self._at(path))
+            path = self._fresh("index")
+            ann.build_index(self.points().select("ord", "vector"), self.config.metric, self.config.hnsw, shard_rows).write.parquet(self._at(path))
             shards = self.spark.read.schema(ann.INDEX).parquet(self._at(path)).count()
             self._publish({**m, "index": {"path": path, "below": m["next_ord"], "shards": shards, "rows": m["live"]}})
 
