@@ -2,8 +2,10 @@
 
 A public vocabulary encodes every text. Text that a vocabulary was not made for, or that is not language at all, shows in
 three figures: characters per token, the share of tokens that fall back to bytes, and the entropy of the tokens. What is
-usual differs by language, script and length, so each group of these has bands of its own: the median over all documents
-of the group, and the median deviation from it, times BAND. A document outside a band of its group is rejected. Groups
+usual differs by language, script and length, so each group of these has bands of its own about the medians over all its
+documents, in median deviations from them. Junk has few characters per token and few different tokens at once, while clean
+text with numbers or names is low in the first alone, so the lower band holds for the two together: the root of the sum of
+their squared shortfalls. The upper bands hold for each figure. A document outside a band of its group is rejected. Groups
 with fewer than LEAST_GROUP documents use FIXED_BANDS.
 
 Base rules come first: a text fails with fewer than 20 words, or if over 30 % of its words lie in windows of eight words
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import ASCII_SPACE, bounded_batches, small_batches, stored, text_of, texts
 
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
-#: Median deviations (times 1.4826, which makes them standard deviations) that a figure may be off.
-BAND = 3.0
+#: Median deviations (times 1.4826, which makes them standard deviations) that the shortfall may have, and each excess.
+LOW_BAND, HIGH_BAND = 3.5, 8.0
 LEAST_GROUP = 50
 #: Spread of each figure at least, and bands where a group is small: characters per token, byte share, relative entropy.
 LEAST_SPREAD = {"chars_per_token": 0.08, "byte_share": 0.005, "entropy": 0.12}
@@ -156,16 +158,14 @@ def measured(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def bands(stats: DataFrame) -> DataFrame:
-    """Per group (lang, script, size: doublings of the number of tokens) the low and high end of each figure's band."""
+    """Per large enough group (lang, script, size: doublings of the number of tokens) the middle and spread of each figure."""
     group = ["lang", "script", "size"]
     stats = stats.select(*group, *FIXED_BANDS)
     middle = stats.groupBy(*[F.col(c).alias(f"of_{c}") for c in group]).agg(F.count("*").alias("members"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIXED_BANDS])
     off = stats.join(F.broadcast(middle) if few(middle) else middle, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group])
     spread = off.groupBy(*group).agg(F.first("members").alias("members"), *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIXED_BANDS],
                                   *[F.greatest(F.lit(LEAST_SPREAD[c]), 1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000)).alias(f"{c}_spread") for c in FIXED_BANDS])
-    enough = F.col("members") >= LEAST_GROUP
-    ends = [F.when(enough, F.col(f"{c}_mid") + sign * BAND * F.col(f"{c}_spread")).otherwise(FIXED_BANDS[c][at]).alias(f"{c}_{name}") for c in FIXED_BANDS for at, sign, name in ((0, -1, "low"), (1, 1, "high"))]
-    return spread.select(*[F.col(c).alias(f"of_{c}") for c in group], *ends)
+    return spread.where(F.col("members") >= LEAST_GROUP).select(*[F.col(c).alias(f"of_{c}") for c in group], *[f"{c}_{x}" for c in FIXED_BANDS for x in ("mid", "spread")])
 
 
 def few(groups: DataFrame) -> bool:
@@ -180,8 +180,10 @@ def fertility_rules(docs: DataFrame, model_path: str) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     found = stored(bands(stats.where(~failed)), "bands")
     joined = stats.join(F.broadcast(found) if few(found) else found, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("lang", "script", "size")], "left")
-    reason = F.when(failed, "base")
+    off = {c: (F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_spread") for c in FIXED_BANDS}
+    short = [F.pow(F.least(off[c], F.lit(0.0)), 2) for c in ("chars_per_token", "entropy")]
+    reason = F.when(failed, "base").when(F.sqrt(short[0] + short[1]) > LOW_BAND, "low fertility")
     for c, (low, high) in FIXED_BANDS.items():
-        reason = reason.when((F.col(c) < F.coalesce(f"{c}_low", F.lit(low))) | (F.col(c) > F.coalesce(f"{c}_high", F.lit(high))), c)
+        reason = reason.when(F.when(off[c].isNotNull(), off[c] > HIGH_BAND).otherwise((F.col(c) < low) | (F.col(c) > high)), c)
     return joined.withColumn("reason", reason).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("reason").isNull().alias("kept"),
                                                      "n_tokens", "chars_per_token", "byte_share", "entropy", "script", "reason")
