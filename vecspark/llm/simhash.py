@@ -32,7 +32,7 @@ RADIUS, WORDS, SEED = 4, 4, 42
 #: Fingerprints of one shard, beyond which it is cut into parts; and those that a task searches together at least.
 SHARD_ROWS, STEP_ROWS = 50_000, 50_000
 #: A shard has about so many fingerprints, if they spread evenly.
-SHARD_AIM = 32
+SHARD_AIM = 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
