@@ -84,6 +84,8 @@ def test_strategies(spark, root):
     c.delete(ids(half)[0])
     after = ids(c.search(q, 5))
     assert after[0] == "new" and ids(half)[0] not in after
+    odd = c.search(q, 5, where={"field": "half", "eq": True}, also=F.col("ord") % 4 == 0)
+    assert odd.strategy == "FILTERED_INDEX" and all(i == "new" or int(i[1:]) % 4 == 0 for i in ids(odd)) and c.is_durable
     plan, _ = c.plan(5, SearchParams(), {"field": "half", "eq": True})
     assert plan.ef == 64 * 2
 

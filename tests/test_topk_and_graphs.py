@@ -106,7 +106,7 @@ def test_selection_on_clusters():
     many = (centres[rng.integers(0, 50, 3000)] + rng.normal(size=(3000, 32))).astype(np.float32)
     queries = (centres[rng.integers(0, 50, 60)] + rng.normal(size=(60, 32))).astype(np.float32)
     found = {s: measured(HnswGraph.build("L2", HnswParams(selection=s), np.arange(3000), many), many, queries, "L2", ef=64) for s in ("SIMPLE", "HEURISTIC")}
-    assert found["HEURISTIC"] >= 0.95 and found["HEURISTIC"] >= found["SIMPLE"] - 0.01
+    assert found["HEURISTIC"] >= 0.95 and found["HEURISTIC"] >= found["SIMPLE"] - 0.01 and found["SIMPLE"] >= 0.85
 
 
 @pytest.mark.parametrize("share", [5, 10, 30, 60])

@@ -8,8 +8,9 @@ from __future__ import annotations
 import threading
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.config import MAX_EF, MAX_K, CollectionConfig, DurabilityConfig, FilterConfig, SearchParams
@@ -41,8 +42,8 @@ class SearchResponse:
 
 
 class Collection:
-    def __init__(self, files: Files, folder: str, manifest: dict, durability: DurabilityConfig, filter_config: FilterConfig):
-        self.files, self.folder, self.manifest = files, folder, manifest
+    def __init__(self, files: Files, folder: str, manifest: dict, durability: DurabilityConfig, filter_config: FilterConfig, is_durable: bool = True):
+        self.files, self.folder, self.manifest, self.is_durable = files, folder, manifest, is_durable
         self.spark: SparkSession = files.spark
         self.durability, self.filter_config = durability, filter_config
         self.config = CollectionConfig.from_dict(manifest["config"])
@@ -217,23 +218,25 @@ class Collection:
 
     # -- search
 
-    def plan(self, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None, manifest: dict | None = None) -> tuple[Plan, DataFrame]:
-        """The strategy for a search and the points that it may return."""
+    def plan(self, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None, also: Column | None = None, manifest: dict | None = None) -> tuple[Plan, DataFrame]:
+        """The strategy for a search and the points that it may return. ``also`` is any further predicate on the points'
+        columns, such as one on ``ord`` or ``id``."""
         if not 1 <= k <= MAX_K:
             raise ValueError(f"k must be 1-{MAX_K}: {k}")
         if params.ef > MAX_EF:
             raise ValueError(f"ef must be <= {MAX_EF}: {params.ef}")
         where = filters.parse(where) if isinstance(where, dict) else where
         points = self.points(manifest)
-        predicate = where.column() if where else None
+        tests = [x for x in (where.column() if where else None, also) if x is not None]
+        predicate = reduce(Column.__and__, tests) if tests else None
         chosen = plan(points, predicate, k, params.ef, self.config.default_ef, self.filter_config)
         return chosen, points if predicate is None else points.where(predicate)
 
-    def search_frame(self, query, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None) -> tuple[DataFrame, Plan]:
+    def search_frame(self, query, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None, also: Column | None = None) -> tuple[DataFrame, Plan]:
         """(rank, id, score, ord, metadata maps) of the closest points that match, closest first, and the plan."""
         manifest = self.manifest
         q = V.check_query(self.config.metric, self.config.dim, query)
-        chosen, eligible = self.plan(k, params, where, manifest)
+        chosen, eligible = self.plan(k, params, where, also, manifest)
         index = manifest["index"]
         if chosen.strategy == "NO_MATCH":
             hits = self.spark.createDataFrame([], "ord long, score float")
@@ -251,6 +254,6 @@ class Collection:
         best = hits.withColumn("rank", rank)  # k rows at most
         return best.join(self.points(manifest).select("ord", "id", *MAPS), "ord").select("rank", "id", "score", "ord", *MAPS).orderBy("rank"), chosen
 
-    def search(self, query, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None) -> SearchResponse:
-        rows, chosen = self.search_frame(query, k, params, where)
+    def search(self, query, k: int, params: SearchParams = SearchParams(), where: filters.Filter | dict | None = None, also: Column | None = None) -> SearchResponse:
+        rows, chosen = self.search_frame(query, k, params, where, also)
         return SearchResponse([SearchHit(r.id, r.score, M.joined(r.meta_str, r.meta_num, r.meta_bool)) for r in rows.collect()], chosen.strategy, chosen.selectivity)

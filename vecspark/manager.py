@@ -33,7 +33,7 @@ class CollectionManager:
             if manifest is None:  # a create that never got its manifest
                 self.files.delete(folder)
             else:
-                self._open[folder] = Collection(self.files, folder, manifest, durability, filter_config)
+                self._open[folder] = Collection(self.files, folder, manifest, durability, filter_config, self.durable)
 
     def create(self, config: CollectionConfig) -> Collection:
         with self._lock:
@@ -45,7 +45,7 @@ class CollectionManager:
                 Manifests(self.files, config.name).commit(manifest)
             except FileExistsError as e:
                 raise CollectionExistsError(config.name) from e
-            self._open[config.name] = Collection(self.files, config.name, manifest, self.durability, self.filter_config)
+            self._open[config.name] = Collection(self.files, config.name, manifest, self.durability, self.filter_config, self.durable)
             return self._open[config.name]
 
     def get(self, name: str) -> Collection:

@@ -15,6 +15,8 @@ from vecspark.config import HnswParams
 from vecspark.functions import vector as V
 
 BUILD_BLOCK = 1024
+#: Candidates that a search holds on layers above 0.
+UPPER_EF = 16
 
 
 def draw_levels(ords: np.ndarray, params: HnswParams) -> np.ndarray:
@@ -86,7 +88,37 @@ class HnswGraph:
                     lists[other].append(base)
                     if len(lists[other]) > 2 * limit:
                         lists[other] = HnswGraph._shrunk(metric, params, vectors, other, lists[other], limit)
-        return {n: np.array(HnswGraph._shrunk(metric, params, vectors, n, x, limit) if len(x) > limit else x, np.int64) for n, x in lists.items()}
+        lists = {n: HnswGraph._shrunk(metric, params, vectors, n, x, limit) if len(x) > limit else x for n, x in lists.items()}
+        HnswGraph._connect(metric, vectors, nodes, lists, limit)
+        return {n: np.array(x, np.int64) for n, x in lists.items()}
+
+    @staticmethod
+    def _connect(metric: str, vectors: np.ndarray, nodes: np.ndarray, lists: dict[int, list[int]], limit: int) -> None:
+        """Links what the first node doesn't reach: the closest links alone may leave groups apart."""
+        reached: set[int] = set()
+
+        def reach(node: int) -> None:
+            reached.add(node)
+            todo = [node]
+            while todo:
+                for other in lists[todo.pop()]:
+                    if other not in reached:
+                        reached.add(other)
+                        todo.append(other)
+
+        if len(nodes):
+            reach(int(nodes[0]))
+        for node in nodes.tolist():
+            if node in reached:
+                continue
+            room = np.array([n for n in reached if len(lists[n]) < limit] or sorted(reached))
+            near = int(room[_pairwise(metric, vectors[node : node + 1], vectors[room])[0].argmin()])
+            if len(lists[near]) >= limit:
+                lists[near].pop()
+            lists[near].append(node)
+            if near not in lists[node] and len(lists[node]) < limit:
+                lists[node].append(near)
+            reach(node)
 
     @staticmethod
     def _shrunk(metric: str, params: HnswParams, vectors: np.ndarray, base: int, others: list[int], limit: int) -> list[int]:
@@ -102,31 +134,20 @@ class HnswGraph:
             return np.einsum("ij,ij->i", v, v)
         return -(v @ q)
 
-    def search(self, q: np.ndarray, k: int, ef: int = 0, eligible: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ordinals and exact distances of about the k closest nodes, closest first. Nodes that are not eligible (a flag for
-        each position) are walked through and never returned."""
-        if self.entry < 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        ef = max(ef or self.params.ef_search, k)
-        at = self.entry
-        best = float(self._near(q, np.array([at]))[0])
-        for layer in range(len(self.links) - 1, 0, -1):
-            while len(others := self.links[layer][at]):
-                near = self._near(q, others)
-                i = int(near.argmin())
-                if near[i] >= best:
-                    break
-                at, best = int(others[i]), float(near[i])
+    def _best_first(self, q: np.ndarray, entries: list[tuple[float, int]], ef: int, layer: int, eligible: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """Up to ``ef`` (distance, node) that are near, from the given ones on."""
         seen = np.zeros(len(self.ords), bool)
-        seen[at] = True
-        waiting, found = [(best, at)], []
-        if eligible is None or eligible[at]:
-            found.append((-best, -at))
+        seen[[n for _, n in entries]] = True
+        waiting = list(entries)
+        heapq.heapify(waiting)
+        found = [(-d, -n) for d, n in entries if eligible is None or eligible[n]]
+        heapq.heapify(found)
+        links = self.links[layer]
         while waiting:
             d, node = heapq.heappop(waiting)
             if len(found) >= ef and d > -found[0][0]:
                 break
-            others = self.links[0][node]
+            others = links[node]
             others = others[~seen[others]]
             if not len(others):
                 continue
@@ -142,7 +163,19 @@ class HnswGraph:
                         heapq.heappush(found, (-x, -other))
                         if len(found) > ef:
                             heapq.heappop(found)
-        nodes = np.array([-n for _, n in found], np.int64)
+        return [(-d, -n) for d, n in found]
+
+    def search(self, q: np.ndarray, k: int, ef: int = 0, eligible: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ordinals and exact distances of about the k closest nodes, closest first. Nodes that are not eligible (a flag for
+        each position) are walked through and never returned."""
+        if self.entry < 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        ef = max(ef or self.params.ef_search, k)
+        near = [(float(self._near(q, np.array([self.entry]))[0]), self.entry)]
+        # A few ways down instead of one: distant groups have few links between them, and one way may end in the wrong group.
+        for layer in range(len(self.links) - 1, 0, -1):
+            near = self._best_first(q, near, UPPER_EF, layer)
+        nodes = np.array([n for _, n in self._best_first(q, near, ef, 0, eligible)], np.int64)
         score = V.distances(self.metric, self.vectors[nodes], q)
         order = np.lexsort((self.ords[nodes], score))[:k]
         return self.ords[nodes[order]], score[order]
