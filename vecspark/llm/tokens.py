@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Units (and pieces of units) that are remembered; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: White space as Unicode has it: fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Patterns of the two public tokenizers: fixed values.
@@ -57,15 +57,18 @@ class WordTokenizer:
         self.pieces: dict[str, bytes] = {}
 
     def _new(self, unit: str) -> bytes:
+        plain = unit.isascii()
         # Strings below U+0130 are in normal form C, and their lower case is that of each character alone.
-        if max(unit) >= "\u0130":
+        if not plain and max(unit) >= "\u0130":
             return _bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+        if self.lowers:
+            unit = unit.lower()
         out = []
-        for piece in self.pattern.findall(unit.lower() if self.lowers else unit):
+        # A word of plain letters, with the space before it, is one piece.
+        for piece in (unit,) if plain and unit[unit[0] == " " :].isalpha() else self.pattern.findall(unit):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = _bytes([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))])
-                self.pieces[piece] = ids
+                ids = self.pieces[piece] = _bytes([t.id for t in self.model.tokenize(piece if piece.isalpha() and plain else piece.encode().decode("latin-1").translate(self.chars))])
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
