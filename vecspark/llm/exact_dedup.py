@@ -32,7 +32,8 @@ RUN = "digest string, n long, points int, keep_id long, sha string"
 
 
 def sha256(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
+    # A digest is never null, but Spark would test that it isn't, by computing it again in a filter below each join on it.
+    return F.coalesce(F.sha2(text.cast("binary"), 256), F.lit(""))
 
 
 class DigestIndex:
