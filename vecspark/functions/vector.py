@@ -32,9 +32,13 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """The vector over its norm; an error for a norm that is zero or not finite."""
-    n = norm(v)
-    usable = (n > 0) & (n < float("inf")) & ~F.isnan(n)
-    return F.when(usable, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(F.raise_error(F.lit("cannot normalize a vector whose norm is zero or not finite")).cast("array<float>"))
+    error = F.raise_error(F.lit("cannot normalize a vector whose norm is zero or not finite")).cast("array<float>")
+
+    def scaled(n: Column) -> Column:
+        return F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(error)
+
+    # An array of one element binds the norm, which a lambda would compute again for each component.
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
 
 
 def distance(metric: str, a: Column, b: Column) -> Column:
