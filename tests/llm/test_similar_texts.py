@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from vecspark.llm import simhash
 from vecspark.llm.common import bit_filter, marked, matching, without
 from vecspark.llm.simhash import similar_texts
 
@@ -62,3 +63,34 @@ def test_filters(spark):
     assert left.columns == docs.columns and left.count() == 499 and left.where("doc_id is null").count() == 1
     assert marked(docs.select("doc_id"), "doc_id", bit_filter(ids, "doc_id")).where("in_filter").count() < 10
     assert without(docs, ids.limit(0)).count() == 502 and without(docs.limit(0), ids).count() == 0
+
+
+def sharing_a_passage(seed, pairs):
+    """Pairs of texts at 0.83 whose members are at 0.74 to all others."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = words(304), []
+    for n in range(pairs):
+        both = words(20)
+        rows += [(2 * n, " ".join(passage + both + words(33))), (2 * n + 1, " ".join(passage + both + words(33)))]
+    rng.shuffle(rows)
+    return rows
+
+
+def edited_copies(seed, count):
+    """Copies with edits of their own, most of them at about 0.8 to each other."""
+    rng = random.Random(seed)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(300)], []
+    for n in range(count):
+        own = list(base)
+        for at in rng.sample(range(300), 7):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((n, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "part_rows"), [(sharing_a_passage(4, 200), 1024), (sharing_a_passage(5, 150), 70), (edited_copies(6, 400), 1024)])
+def test_large_shards_equal_brute_force(spark, monkeypatch, rows, part_rows):
+    monkeypatch.setattr(simhash._rest, "__defaults__", (part_rows, 1 << 20))
+    got = {r.doc_id: r.component_id for r in similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

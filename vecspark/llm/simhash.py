@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.bk_tree import BkForest
+from vecspark.llm.bk_tree import BkForest, _ranges
 from vecspark.llm.common import bounded_batches, matching, small_batches, stored, text_of, texts
 from vecspark.llm.components import connected_components
 
@@ -92,9 +92,14 @@ def sharded(rows: DataFrame, keys: Column, shard_rows: int) -> DataFrame:
     columns of ``rows`` and key, part, other."""
     dealt = rows.withColumn("key", F.explode(keys))
     large = dealt.groupBy("key").count().where(F.col("count") > shard_rows).select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int")
+    return in_pairs(dealt.join(large, "key", "left"), F.xxhash64("fp")).drop("own")
+
+
+def in_pairs(dealt: DataFrame, by: Column) -> DataFrame:
+    """The rows once for each pair (part, other) of their shard's ``parts`` that has their own part, which is dealt by ``by``."""
+    own = F.pmod(by, F.coalesce("parts", F.lit(1))).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda i: F.struct(F.least("own", i).alias("part"), F.greatest("own", i).alias("other")))
-    return dealt.join(large, "key", "left").withColumn("own", own).withColumn("pair", F.explode(pairs)).drop("parts", "own").select("*", "pair.*").drop("pair")
+    return dealt.withColumn("own", own).withColumn("pair", F.explode(pairs)).drop("parts").select("*", "pair.*").drop("pair")
 
 
 def links_within(rows: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -162,9 +167,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
 #: For similar texts: words of a shingle, similarity from which texts are linked, bits within which fingerprints of such
 #: texts lie (about 10 on average at 0.8), bands of the min-hash that deals texts into shards, and hashes of a band.
 TEXT_WORDS, SIMILARITY, TEXT_RADIUS, BANDS, BAND_HASHES = 5, 0.8, 20, 14, 3
-#: Shards up to this size have all their pairs within the radius verified; in larger ones each text is verified against its
-#: nearest neighbour and against the HUBS most central texts.
+#: Shards up to this size have all their pairs within the radius verified at once. In larger ones each text is first verified
+#: against its nearest neighbour and against the HUBS most central texts, and then all pairs of different components are.
 ALL_PAIRS, HUBS = 24, 6
+#: Texts, and hashes of shingles, of one part of a larger shard; two parts are in memory together.
+PART_ROWS, PART_HASHES = 1024, 1 << 20
 _rng = np.random.default_rng(12)
 _FLIP, _ODD = (_rng.integers(0, 1 << 64, BANDS * BAND_HASHES, np.uint64) | np.uint64(x) for x in (0, 1))
 
@@ -179,7 +186,7 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, same, bands) of the rows with words; ``same`` is a hash of the set of shingles."""
+    """(doc_id, fp, same, size, bands) of the rows with words; ``same`` is a hash of the set of shingles, ``size`` its size."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -187,11 +194,11 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
                 hashes = np.unique(shingle_hashes(text, words))
                 if len(hashes):
-                    rows.append((doc, fingerprint(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), bands_of(hashes)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "fp", "same", "bands"])
+                    rows.append((doc, fingerprint(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), len(hashes), bands_of(hashes)))
+            kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "fp", "same", "size", "bands"])
 
-    return docs.where("doc_id is not null").select("doc_id", text_of().alias("text")).mapInArrow(found, "doc_id long, fp long, same long, bands array<long>")
+    return docs.where("doc_id is not null").select("doc_id", text_of().alias("text")).mapInArrow(found, "doc_id long, fp long, same long, size long, bands array<long>")
 
 
 def central(values: np.ndarray) -> np.ndarray:
@@ -202,11 +209,15 @@ def central(values: np.ndarray) -> np.ndarray:
     return np.argsort(np.bitwise_count(values ^ middle), kind="stable")[:HUBS]
 
 
+def _band_keys() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("choice"), F.element_at("bands", i + 1).alias("bits")))
+
+
 def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
-    """Pairs (a, b) of owners that share a band and lie within TEXT_RADIUS: all of a small shard; in a large one each text
-    with its nearest neighbour in the shard's BK-tree and with the central ones."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("choice"), F.element_at("bands", i + 1).alias("bits")))
-    dealt = sharded(owners.select("owner", "fp", "bands"), keys, shard_rows)
+    """Pairs (a, b) of owners that share a band and lie within TEXT_RADIUS: all of a small shard; of a large one those that
+    link most of a group soon, each text with its nearest neighbour in the shard's BK-tree and with the central ones. The
+    other pairs of large shards are left to ``_rest``."""
+    dealt = sharded(owners.select("owner", "fp", "bands"), _band_keys(), shard_rows)
     # Most keys belong to one text; they are dropped before rows are shuffled and sorted by key.
     shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     dealt = dealt.join(shared, "key").select("owner", "fp", F.col("key.choice").alias("choice"), F.col("key.bits").alias("bits"), "part", "other")
@@ -216,29 +227,29 @@ def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, shard in whole_shards(batches, order, ["owner", "fp"]):
             owner, values = columns["owner"], columns["fp"].view(np.uint64)
-            # Texts with one fingerprint are a chain; the first of them stands for it in the tree.
-            twin = np.flatnonzero((shard[1:] == shard[:-1]) & (values[1:] == values[:-1]))
-            a, b = [owner[twin]], [owner[twin + 1]]
-            alone = np.delete(np.arange(len(values)), twin + 1)
-            own, distinct, number = owner[alone], values[alone], shard[alone]
-            sizes = np.bincount(number)[number]
+            sizes = np.bincount(shard)[shard]
             few = np.flatnonzero((sizes <= ALL_PAIRS) & (sizes > 1))
+            a, b = [], []
             for gap in range(1, ALL_PAIRS):
                 low, high = few[:-gap], few[gap:]
-                near = (number[low] == number[high]) & (np.bitwise_count(distinct[low] ^ distinct[high]) <= TEXT_RADIUS)
-                a.append(own[low[near]])
-                b.append(own[high[near]])
-            many = np.flatnonzero(sizes > ALL_PAIRS)
-            at, nearest = BkForest(distinct[many], number[many]).nearest_before(TEXT_RADIUS)
-            a.append(own[many[at]])
-            b.append(own[many[nearest]])
-            cuts = [*np.flatnonzero(np.diff(number[many], prepend=-1)).tolist(), len(many)]
+                near = (shard[low] == shard[high]) & (np.bitwise_count(values[low] ^ values[high]) <= TEXT_RADIUS)
+                a.append(owner[low[near]])
+                b.append(owner[high[near]])
+            # In a large shard texts with one fingerprint are a chain; the first of them stands for it in the tree.
+            twin = np.flatnonzero((sizes[1:] > ALL_PAIRS) & (shard[1:] == shard[:-1]) & (values[1:] == values[:-1]))
+            a.append(owner[twin])
+            b.append(owner[twin + 1])
+            many = np.setdiff1d(np.flatnonzero(sizes > ALL_PAIRS), twin + 1, assume_unique=True)
+            own, distinct, number = owner[many], values[many], shard[many]
+            at, nearest = BkForest(distinct, number).nearest_before(TEXT_RADIUS)
+            a.append(own[at])
+            b.append(own[nearest])
+            cuts = [*np.flatnonzero(np.diff(number, prepend=-1)).tolist(), len(many)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                inside = many[low:high]
-                for hub in central(distinct[inside]).tolist():
-                    near = np.bitwise_count(distinct[inside] ^ distinct[inside[hub]]) <= TEXT_RADIUS
-                    a.append(own[inside[near]])
-                    b.append(np.full(int(near.sum()), own[inside[hub]]))
+                for hub in (low + central(distinct[low:high])).tolist():
+                    near = np.bitwise_count(distinct[low:high] ^ distinct[hub]) <= TEXT_RADIUS
+                    a.append(own[low:high][near])
+                    b.append(np.full(int(near.sum()), own[hub]))
             a, b = np.concatenate(a), np.concatenate(b)
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -246,14 +257,21 @@ def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
     return dealt.mapInArrow(searched, "a long, b long").where("a <> b").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar enough."""
+def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(doc_id, hashes) of the documents in ``needed`` (doc_id): their sets of shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
 
+    found = matching(docs.select("doc_id", text_of().alias("text")), needed).mapInArrow(sets, "doc_id long, hashes array<long>")
+    return stored(found.groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "shingle-sets")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -263,25 +281,89 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = stored(matching(docs.select("doc_id", text_of().alias("text")), needed).mapInArrow(sets, "doc_id long, hashes array<long>").groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "shingle-sets")
+    held = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
+def _open_pairs(rows: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a pair of parts with the later rows of other components that may be similar: within TEXT_RADIUS, of a
+    size that allows it, with no band in common before this one and, between two parts, from the other part."""
+    fp, root, own, size = (rows.column(c).to_numpy() for c in ("fp", "root", "own", "size"))
+    fp, bands = fp.view(np.uint64), rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    choice, across = rows.column("choice")[0].as_py(), rows.column("part")[0].as_py() != rows.column("other")[0].as_py()
+    for i in range(len(fp) - 1):
+        later = slice(i + 1, None)
+        may = (root[later] != root[i]) & (np.bitwise_count(fp[later] ^ fp[i]) <= TEXT_RADIUS)
+        may &= np.minimum(size[later], size[i]) >= similarity * np.maximum(size[later], size[i])
+        if across:
+            may &= own[later] != own[i]
+        at = i + 1 + np.flatnonzero(may)
+        at = at[(bands[at, :choice] != bands[i, :choice]).all(1)]
+        if len(at):
+            yield i, at
+
+
+def _rest(docs: DataFrame, linked: DataFrame, words: int, similarity: float, part_rows: int = PART_ROWS, part_hashes: int = PART_HASHES) -> DataFrame:
+    """Edges (a, b) between components ``linked`` (owner, fp, size, bands, root) that one pair of similar texts at least joins,
+    of all pairs in shards of more than ALL_PAIRS texts. A pair goes unverified only if verified links join its texts."""
+    shard = ["choice", "bits", "part", "other"]
+    dealt = linked.withColumn("key", F.explode(_band_keys()))
+    parts = F.ceil(F.greatest(F.count("*") / part_rows, F.sum("size") / part_hashes)).cast("int")
+    large = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts"))
+    large = large.where((F.col("members") > ALL_PAIRS) & (F.col("low") < F.col("high"))).select("key", "parts")
+    dealt = in_pairs(dealt.join(large, "key"), F.xxhash64("owner")).select("owner", "fp", "size", "bands", "root", "own", "key.choice", "key.bits", "part", "other")
+
+    def kept(rows: pa.Table) -> pa.Table:
+        needed = np.zeros(rows.num_rows, bool)
+        for i, at in _open_pairs(rows, similarity):
+            needed[i] = needed[at] = True
+        return rows.filter(pa.array(needed))
+
+    # Sets go only where a pair of different components is left.
+    held = stored(dealt.groupBy(*shard).applyInArrow(kept, dealt.schema), "open-shards")
+
+    def joined(rows: pa.Table) -> pa.Table:
+        lists = rows.column("hashes").combine_chunks()
+        sizes, root = lists.value_lengths().to_numpy().astype(np.int64), rows.column("root").to_numpy()
+        names, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        starts, label, mark = np.cumsum(sizes) - sizes, np.unique(root, return_inverse=True)[1], np.zeros(len(names), np.int64)
+        a, b = [], []
+        for i, at in _open_pairs(rows, similarity):
+            at = at[label[at] != label[i]]
+            if not len(at):
+                continue
+            own = ids[starts[i] : starts[i] + sizes[i]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[ids[_ranges(starts[at], sizes[at])]], np.cumsum(sizes[at]) - sizes[at])
+            mark[own] = 0
+            for j in at[both >= similarity * (sizes[i] + sizes[at] - both)].tolist():
+                if label[j] != label[i]:
+                    a.append(root[i])
+                    b.append(root[j])
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sets = _sets(docs, held.select(F.col("owner").alias("doc_id")).distinct(), words)
+    return held.join(sets, held["owner"] == sets["doc_id"]).drop("doc_id").groupBy(*shard).applyInArrow(joined, "a long, b long")
+
+
 def similar_texts(docs: DataFrame, words: int = TEXT_WORDS, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, component_id) of the documents with words: the smallest doc_id that links of similar texts reach.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Candidates share one
     of BANDS min-hash keys, which texts at 0.8 fail to with a probability of 0.00004, and lie within TEXT_RADIUS bits by
     SimHash, found by BK-trees; each candidate is verified by its whole sets. Texts with one set of shingles are one vertex.
-    In a large shard, where all pairs would grow with its square, each text is verified against its nearest neighbour and the
-    most central texts in each of the shards it is in. Rows without a doc_id or without words are left out."""
+    In a large shard each text is verified against its nearest neighbour and the most central texts first, and then every
+    pair that these links leave in different components is. Rows without a doc_id or without words are left out."""
     bounded_batches(docs.sparkSession)
     rows = stored(_sketches(docs, words), "sketches")
     owners = stored(rows.groupBy("same").agg(F.min("doc_id").alias("owner")), "set-owners")
-    heads = stored(rows.join(owners.withColumnRenamed("owner", "doc_id"), ["same", "doc_id"]).groupBy(F.col("doc_id").alias("owner")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sketch-owners")
+    heads = stored(rows.join(owners.withColumnRenamed("owner", "doc_id"), ["same", "doc_id"]).groupBy(F.col("doc_id").alias("owner")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.max("size").alias("size")), "sketch-owners")
     pairs = stored(_candidates(heads, shard_rows), "candidates")
     roots = connected_components(_verified(docs, pairs, words, similarity))
-    classes = owners.join(roots, owners["owner"] == roots["node"], "left").select("same", F.coalesce("root", "owner").alias("component_id"))
-    return rows.select("doc_id", "same").join(classes, "same").select("doc_id", "component_id")
+    linked = stored(heads.join(roots, heads["owner"] == roots["node"], "left").select("owner", "fp", "size", "bands", F.coalesce("root", "owner").alias("root")), "linked-texts")
+    # Roots are the smallest of their components, and so are those of the components joined.
+    lower = connected_components(_rest(docs, linked, words, similarity)).withColumnRenamed("root", "lower")
+    lowest = linked.join(lower, linked["root"] == lower["node"], "left").select("owner", F.coalesce("lower", "root").alias("component_id"))
+    return rows.select("doc_id", "same").join(owners.join(lowest, "owner"), "same").select("doc_id", "component_id")
