@@ -36,6 +36,11 @@ def _query(points: DataFrame, ord_: int = 0) -> list[float]:
     return points.where(F.col("ord") == ord_).first().vector
 
 
+def _queries(points: DataFrame) -> DataFrame:
+    """Every fiftieth point as a query, over the whole table."""
+    return points.where(F.col("ord") % 50 == 0).select(F.col("ord").alias("qid"), "vector")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.withColumn("toxic", F.col("toxic") == 1).select("doc_id", *M.maps_of(rows.withColumn("toxic", F.col("toxic") == 1), ["lang", "source", "n_chars", "quality", "toxic"]))
@@ -218,7 +223,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graphs(spark: SparkSession, sf_dir: str, shard_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     points = _points(spark, sf_dir)
-    return points, ann.build_index(points, "L2", HnswParams(), shard_rows), points.where(F.col("ord") < 100).select(F.col("ord").alias("qid"), "vector")
+    return points, ann.build_index(points, "L2", HnswParams(), shard_rows), _queries(points)
 
 
 def hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +247,8 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recall_of_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    queries = points.where(F.col("ord") < QUERIES).select(F.col("ord").alias("qid"), "vector")
-    pairs = points.join(F.broadcast(queries.withColumnRenamed("vector", "q")), F.lit(True)).select("qid", "ord", V.squared_l2(F.col("vector"), F.col("q")).alias("score"))  # a stated query set
+    queries = _queries(points)
+    pairs = points.crossJoin(queries.withColumnRenamed("vector", "q")).select("qid", "ord", V.squared_l2(F.col("vector"), F.col("q")).alias("score"))
     return recall(batch_topk(points, queries, 10), merge_topk(pairs, 10), 10)
 
 
