@@ -64,3 +64,30 @@ def test_hosts(spark):
 
 def test_no_pages(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_names_on_what_holds_the_text():
+    text = "Much text here. " * 20
+    for page in ("<body class='has-sidebar'><article><p>{}</p></article></body>", "<body><article class='post comments-open'><p>{}</p></article></body>",
+                 "<body><main id='search-results'><p>{}</p></main></body>", "<html class='no-cookies'><body><div><p>{}</p></div></body></html>",
+                 "<body><div class='with-sidebar'><article><p>{}</p></article><div class='sidebar'>Links</div></div></body>", "<body><main><p></p><div class='menu-open'><p>{}</p></div></main></body>"):
+        assert alone(page.format(text)) == text.strip(), page
+    assert alone(f"<article><p>Short.</p></article><section id='comments'><p>{text}</p></section>") == "Short."
+    assert alone(f"<main><p>Short.</p><section id='comments'><article class='comment'><p>{text}</p></article></section></main>") == "Short."
+    assert alone(f"<div>{text}</div><div class='related'><article>Another page</article></div>") == text.strip()
+
+
+def test_copies_of_pages_are_not_constants(spark):
+    page = "<body><article><h1>Title {0}</h1><div class=text><p>Text {0} of it, long enough to be most.</p></div><div class=terms>Terms of use</div></article></body>"
+    rows = [(i, f"http://copies.example.org/{i}", page.format("same")) for i in range(20)]
+    rows += [(1000 + i, f"http://few.example.org/{i}", page.format(f"no{i % 21}")) for i in range(1000)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Title same Text same of it, long enough to be most. Terms of use" for i in range(20))
+    assert all(got[1000 + i] == f"Title no{i % 21} Text no{i % 21} of it, long enough to be most." for i in range(1000))
+
+
+def test_copies_in_a_layout_of_their_own(spark):
+    rows = [(i, f"http://h.example.org/{i}", f"<body><article><h1>T{i}</h1><div class=text><p>Text {i} of this page.</p></div></article></body>") for i in range(100)]
+    rows += [(100 + i, f"http://h.example.org/c{i}", "<body><article><h1>Copy</h1><div class=special><p>Text of the copies, as it is on all.</p></div></article></body>") for i in range(20)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[110] == "Copy Text of the copies, as it is on all." and got[7] == "T7 Text 7 of this page."

@@ -38,8 +38,10 @@ MIN_PAGES, MIN_SHARE = 3, 0.05
 REGION_SHARE = 0.6
 #: Slots with more link text than this are menus.
 LINK_SHARE = 0.6
-#: Slots with fewer texts than this share of the pages, on this many pages at least, are constant.
+#: Slots with fewer texts than this share of the region's texts on the same pages, and these so many at least, are constant.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.02, 8
+#: An element with more than this share of the text is not judged by its names, nor is it a constant slot of the region.
+MOST = 0.5
 #: Hosts whose templates are broadcast at most; a template has a few dozen numbers.
 BROADCAST_HOSTS = 10_000
 #: Elements and names of what is not main text: fixed values.
@@ -50,6 +52,8 @@ BLOCK = frozenset("html body div section article main nav header footer aside fo
 CONTAINER = frozenset("div section ul ol dl table blockquote center details article main".split())
 BOILER_NAMES = frozenset("nav navbar navigation menu menubar header masthead footer sidebar side aside ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget widgets toolbar copyright legal disclaimer skip".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: Of these, what readers add or what leads elsewhere, of any length.
+BULK_NAMES = frozenset("comment comments commentlist reply replies respond disqus discussion related recommended recommendations".split())
 MAIN_NAMES = frozenset("article content post entry story maincontent mainbody articlebody postbody".split())
 #: An opening element ends these open ones, if they are its nearest of the kind: fixed values.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table")}
@@ -68,6 +72,8 @@ class Node:
     boiler: bool
     #: 3 article, 2 main, 1 named as the content, 0 neither.
     main: int
+    #: Boilerplate names, where nothing else says that it is not main text.
+    named: frozenset[str] = frozenset()
     mass: int = 0
     links: int = 0
     texts: list[str] = field(default_factory=list)
@@ -83,6 +89,7 @@ class Page:
 def parse(source: str) -> Page:
     """The page's elements, plain inline ones apart, and its visible text by blocks."""
     nodes, blocks, stack = [Node(0, "", -1, 0, False, 0)], [], [0]
+    shares: list[int] = []
     pieces: list[str] = []
     linked = at = 0
     in_link = False
@@ -92,13 +99,7 @@ def parse(source: str) -> Page:
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
             blocks.append((stack[-1], text))
-            share = min(linked, len(text))
-            i = stack[-1]
-            while i >= 0 and not nodes[i].boiler:
-                nodes[i].mass += len(text)
-                nodes[i].links += share
-                nodes[i].texts.append(text)
-                i = nodes[i].parent
+            shares.append(min(linked, len(text)))
         pieces.clear()
         linked = 0
 
@@ -159,17 +160,59 @@ def parse(source: str) -> Page:
                 close(*ENDS[name])
         up = nodes[stack[-1]]
         inside = any(nodes[i].main >= 2 for i in stack)
-        boiler = up.boiler or name in BOILER or (name == "header" and not inside) or bool(words & BOILER_NAMES - ({"header"} if inside else set())) or given.get("role", "").lower() in BOILER_ROLES
+        boiler = up.boiler or name in BOILER or (name == "header" and not inside) or given.get("role", "").lower() in BOILER_ROLES
+        # The whole page, its main part and what is named as an article as well are not judged by a word in their names.
+        whole = name in ("html", "body", "main") or name == "article" and words & MAIN_NAMES and not any(nodes[i].name == "article" for i in stack)
+        named = frozenset() if boiler or whole else frozenset(words & BOILER_NAMES - ({"header"} if inside else set()))
         main = 0 if boiler else 3 if name == "article" else 2 if name == "main" or given.get("role", "").lower() == "main" else int(bool(words & MAIN_NAMES) and name in CONTAINER)
         signature = f"{up.token}/{name}.{re.sub(r'[0-9]+', '', ' '.join(sorted(given.get('class', '').split())))}"
-        nodes.append(Node(xxhash.xxh64_intdigest(signature) >> 1, name, stack[-1], up.depth + 1, boiler, main))
+        nodes.append(Node(xxhash.xxh64_intdigest(signature) >> 1, name, stack[-1], up.depth + 1, boiler, main, named))
         stack.append(len(nodes) - 1)
         if m[3].rstrip().endswith("/") and name not in BLOCK:
             stack.pop()
     flush()
+    judge_names(nodes, blocks)
+    for (i, text), share in zip(blocks, shares, strict=True):
+        while i >= 0 and not nodes[i].boiler:
+            nodes[i].mass += len(text)
+            nodes[i].links += share
+            nodes[i].texts.append(text)
+            i = nodes[i].parent
     return Page(nodes, blocks)
 
 
+def judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+    """Makes elements with boilerplate names, and all below them, boilerplate, unless they hold the article or most of the
+    text that is left without them."""
+    if not any(n.named for n in nodes):
+        return
+    raw, under = [0] * len(nodes), [False] * len(nodes)
+    for k, n in enumerate(nodes[1:], 1):
+        under[k] = bool(n.named) or under[n.parent]
+    clean = 0
+    for i, text in blocks:
+        if nodes[i].boiler:
+            continue
+        clean += 0 if under[i] else len(text)
+        while i >= 0:
+            raw[i] += len(text)
+            i = nodes[i].parent
+    # Text of an element that says it is the content, outside all those with boilerplate names.
+    told = any(n.main and raw[k] and not under[k] for k, n in enumerate(nodes))
+    free = set()
+    for k, n in enumerate(nodes):
+        if n.named and raw[k] > MOST * raw[0] and not (told and n.named & BULK_NAMES):
+            free.add(k)
+        if not told and n.name == "article" and not n.named and not n.boiler and raw[k] > clean:
+            i = n.parent
+            while i >= 0:
+                free.add(i)
+                i = nodes[i].parent
+    for k, n in enumerate(nodes[1:], 1):
+        n.boiler = n.boiler or nodes[n.parent].boiler or bool(n.named) and k not in free
+        n.main = 0 if n.boiler else n.main
+
+
 def page_tokens(page: Page) -> dict[int, tuple]:
     """token: (count, text, link text, hash of the text, depth, main, whether it holds elements), without what is named
     as not main text."""
@@ -240,10 +283,36 @@ def templates(pages: DataFrame) -> DataFrame:
     holding = F.col("holds") & (F.col("mass") >= REGION_SHARE * F.col("total")) & (F.col("mass") > 0)
     key = F.when(named, F.struct(F.col("main").cast("long").alias("a"), F.col("mass").alias("b"), F.col("depth").cast("long").alias("c"), "token")).when(holding, F.struct(F.lit(0).cast("long").alias("a"), F.col("depth").cast("long").alias("b"), F.col("mass").alias("c"), "token"))
     menu = F.col("holds") & (F.col("mass") > 0) & (F.col("links") > LINK_SHARE * F.col("mass"))
-    constant = F.col("holds") & (F.col("main") == 0) & (F.col("mass") > 0) & (F.col("n") == F.col("pages")) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("bodies") <= 1 + CONSTANT_SHARE * F.col("pages"))
-    return valid.groupBy("host").agg(F.max(key).alias("best"), F.collect_list(F.when(menu | constant, F.struct("token", "depth"))).alias("out")).select(
-        "host", F.when(F.col("best").isNotNull(), F.array("best.token")).otherwise(F.array().cast("array<bigint>")).alias("region"),
-        F.transform(F.filter("out", lambda x: ~x["token"].eqNullSafe(F.col("best.token"))), lambda x: x["token"]).alias("left_out"))
+    maybe = F.col("holds") & (F.col("main") == 0) & (F.col("mass") > 0) & (F.col("n") == F.col("pages")) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("bodies") <= 1 + CONSTANT_SHARE * F.col("pages"))
+    found = valid.groupBy("host").agg(F.max(key)["token"].alias("region"), F.collect_list(F.when(menu, F.col("token"))).alias("menus"),
+                                      F.collect_list(F.when(maybe & ~menu, F.struct("token", "bodies"))).alias("maybe"))
+    found = stored(found.withColumn("menus", F.filter("menus", lambda x: ~x.eqNullSafe(F.col("region")))).withColumn("maybe", F.filter("maybe", lambda x: ~x["token"].eqNullSafe(F.col("region")))), "regions")
+    constant = constants(pages, found.where((F.size("maybe") > 0) & F.col("region").isNotNull()))
+    return found.join(constant, "host", "left").select(
+        "host", F.when(F.col("region").isNotNull(), F.array("region")).otherwise(F.array().cast("array<bigint>")).alias("region"),
+        F.concat("menus", F.coalesce("constant", F.array().cast("array<bigint>"))).alias("left_out"))
+
+
+def constants(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(host, constant): of the tokens ``maybe`` (token, bodies) of each host in ``found`` (host, region, maybe) those that say
+    the same while the region around them varies. Copies of a page have one region text, and count as one."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "html"):
+            rows = []
+            for host, region, maybe, source in zip(batch.column("host").to_pylist(), batch.column("region").to_pylist(), batch.column("maybe").to_pylist(), texts(batch, "html"), strict=True):
+                own = page_tokens(parse(source))
+                if region in own:
+                    rows += [(host, x["token"], x["bodies"], own[x["token"]][1], own[region][1], own[region][3]) for x in maybe if x["token"] in own]
+            names = ["host", "token", "bodies", "mass", "total", "around"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(6)], names=names)
+
+    few = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    own = F.broadcast(found) if few else found
+    seen = pages.select("host", "html").join(own.select("host", "region", "maybe"), "host").mapInArrow(tokens, "host string, token long, bodies long, mass long, total long, around long")
+    held = seen.groupBy("host", "token").agg(F.max("bodies").alias("bodies"), F.sum("mass").alias("mass"), F.sum("total").alias("total"), F.approx_count_distinct("around", 0.02).alias("around"))
+    same = (F.col("around") >= CONSTANT_PAGES) & (F.col("bodies") <= 1 + CONSTANT_SHARE * F.col("around")) & (F.col("mass") <= MOST * F.col("total"))
+    return held.where(same).groupBy("host").agg(F.collect_list("token").alias("constant"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
