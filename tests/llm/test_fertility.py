@@ -71,3 +71,14 @@ def test_rules(spark):
 
 def test_no_rows(spark):
     assert fertility_rules(spark.createDataFrame([], "doc_id long, text string, lang string"), PATH).collect() == []
+
+
+def test_junk_in_small_groups(spark):
+    rng = random.Random(5)
+    words = ["water", "people", "little", "sound", "great", "where", "through", "sentence", "before", "right", "picture", "again", "house", "animal", "point", "mother", "world", "country"]
+    clean = [(i, " ".join(rng.choice(words) + rng.choice(["", "", ".", "s"]) for _ in range(100)), "en") for i in range(200)]
+    junk = lambda: " ".join("".join(rng.choice("qxzjkv") for _ in range(5)) for _ in range(100))
+    rows = [*clean, (1000, junk(), "en"), (1001, junk(), "xx"), (1002, junk(), None), (1003, " ".join([junk() for _ in range(100)]), "en"), (1004, clean[0][1], "yy"), (1005, clean[1][1], None)]
+    got = {r.doc_id: r for r in fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    assert not any(got[i].kept for i in (1000, 1001, 1002, 1003))
+    assert got[1004].kept and got[1005].kept and sum(got[i].kept for i in range(200)) >= 190

@@ -6,7 +6,8 @@ usual differs by language, script and length, so each group of these has bands o
 documents, in median deviations from them. Junk has few characters per token and few different tokens at once, while clean
 text with numbers or names is low in the first alone, so the lower band holds for the two together: the root of the sum of
 their squared shortfalls. The upper bands hold for each figure. A document outside a band of its group is rejected. Groups
-with fewer than LEAST_GROUP documents use FIXED_BANDS.
+with fewer than LEAST_GROUP documents use the bands of all lengths of their language and script, else of the script, else of
+all documents, which are fitted alike.
 
 Base rules come first: a text fails with fewer than 20 words, or if over 30 % of its words lie in windows of eight words
 that occur twice or more in it. Medians come from mergeable sketches over all rows; what is broadcast is one row for each
@@ -36,9 +37,11 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Median deviations (times 1.4826, which makes them standard deviations) that the shortfall may have, and each excess.
 LOW_BAND, HIGH_BAND = 3.5, 8.0
 LEAST_GROUP = 50
-#: Spread of each figure at least, and bands where a group is small: characters per token, byte share, relative entropy.
+#: Groups with bands, the finest that has LEAST_GROUP documents counts; the last, of all documents, has any number of them.
+LEVELS = (("lang", "script", "size"), ("lang", "script"), ("script",), ("all",))
+#: Spread of each figure at least: characters per token, byte share, entropy.
 LEAST_SPREAD = {"chars_per_token": 0.08, "byte_share": 0.005, "entropy": 0.12}
-FIXED_BANDS = {"chars_per_token": (1.0, 12.0), "byte_share": (0.0, 0.3), "entropy": (2.0, 16.0)}
+FIGURES = tuple(LEAST_SPREAD)
 BROADCAST_GROUPS = 10_000
 REMEMBERED = 400_000
 #: First code point after each script's range that has one, in order: fixed values.
@@ -157,15 +160,15 @@ def measured(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("doc_id", lang.alias("lang"), text_of().alias("text")).mapInArrow(rows, STATS)
 
 
-def bands(stats: DataFrame) -> DataFrame:
-    """Per large enough group (lang, script, size: doublings of the number of tokens) the middle and spread of each figure."""
-    group = ["lang", "script", "size"]
-    stats = stats.select(*group, *FIXED_BANDS)
-    middle = stats.groupBy(*[F.col(c).alias(f"of_{c}") for c in group]).agg(F.count("*").alias("members"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIXED_BANDS])
+def bands(stats: DataFrame, group: tuple[str, ...], least: int = LEAST_GROUP) -> DataFrame:
+    """Per large enough group (such as lang, script, size: doublings of the number of tokens) the middle and spread of each
+    figure."""
+    stats = stats.select(*group, *FIGURES)
+    middle = stats.groupBy(*[F.col(c).alias(f"of_{c}") for c in group]).agg(F.count("*").alias("members"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIGURES])
     off = stats.join(F.broadcast(middle) if few(middle) else middle, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group])
-    spread = off.groupBy(*group).agg(F.first("members").alias("members"), *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIXED_BANDS],
-                                  *[F.greatest(F.lit(LEAST_SPREAD[c]), 1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000)).alias(f"{c}_spread") for c in FIXED_BANDS])
-    return spread.where(F.col("members") >= LEAST_GROUP).select(*[F.col(c).alias(f"of_{c}") for c in group], *[f"{c}_{x}" for c in FIXED_BANDS for x in ("mid", "spread")])
+    spread = off.groupBy(*group).agg(F.first("members").alias("members"), *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
+                                  *[F.greatest(F.lit(LEAST_SPREAD[c]), 1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000)).alias(f"{c}_spread") for c in FIGURES])
+    return spread.where(F.col("members") >= least).select(*[F.col(c).alias(f"of_{c}") for c in group], *[f"{c}_{x}" for c in FIGURES for x in ("mid", "spread")])
 
 
 def few(groups: DataFrame) -> bool:
@@ -178,12 +181,16 @@ def fertility_rules(docs: DataFrame, model_path: str) -> DataFrame:
     stats = stored(measured(docs, model_path).withColumn("size", size), "fertility")
     # Texts that fail the base rules don't shape the bands.
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    found = stored(bands(stats.where(~failed)), "bands")
-    joined = stats.join(F.broadcast(found) if few(found) else found, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("lang", "script", "size")], "left")
-    off = {c: (F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_spread") for c in FIXED_BANDS}
+    joined = stats = stats.withColumn("all", F.lit(0))
+    for i, group in enumerate(LEVELS):
+        found = stored(bands(stats.where(~failed), group, 1 if group == LEVELS[-1] else LEAST_GROUP), "bands")
+        found = found.select(*[F.col(f"of_{c}").alias(f"of_{c}_{i}") for c in group], F.struct(*[f"{c}_{x}" for c in FIGURES for x in ("mid", "spread")]).alias(f"bands_{i}"))
+        joined = joined.join(F.broadcast(found) if few(found) else found, [F.col(c).eqNullSafe(F.col(f"of_{c}_{i}")) for c in group], "left")
+    joined = joined.withColumn("own", F.coalesce(*[f"bands_{i}" for i in range(len(LEVELS))]))
+    off = {c: (F.col(c) - F.col(f"own.{c}_mid")) / F.col(f"own.{c}_spread") for c in FIGURES}
     short = [F.pow(F.least(off[c], F.lit(0.0)), 2) for c in ("chars_per_token", "entropy")]
     reason = F.when(failed, "base").when(F.sqrt(short[0] + short[1]) > LOW_BAND, "low fertility")
-    for c, (low, high) in FIXED_BANDS.items():
-        reason = reason.when(F.when(off[c].isNotNull(), off[c] > HIGH_BAND).otherwise((F.col(c) < low) | (F.col(c) > high)), c)
+    for c in FIGURES:
+        reason = reason.when(off[c] > HIGH_BAND, c)
     return joined.withColumn("reason", reason).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("reason").isNull().alias("kept"),
                                                      "n_tokens", "chars_per_token", "byte_share", "entropy", "script", "reason")
