@@ -1,26 +1,40 @@
-"""Token ids of whole texts by the tokenizers library, with the ids of words kept.
+"""Token ids of whole texts by the tokenizers library, with the ids of pieces kept.
 
-A tokenizer that splits at white space before it merges gives each word the same ids wherever the word stands. So a text
-is cut into units where the tokenizer cuts anyway, the ids of units are remembered, and only new units are encoded; a new
-unit is split by the tokenizer's own pattern and goes to its model, without the cost of a whole encode call."""
+A tokenizer that splits a text by a pattern before it merges gives each piece the same ids wherever it stands. So a text is
+split by the tokenizer's own pattern, the ids of pieces are remembered, and only new pieces go to its model. Below U+0130 the
+pattern's character classes are spelled out, which splits fast; a text with other characters is cut at white space, and
+each new unit of it is encoded by the library as a whole. So is a text that holds the string of a special token."""
 
 from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from array import array
 from functools import lru_cache
 
-import regex
 from tokenizers import Tokenizer
 
-#: Units (and pieces of units) that are remembered; when full, the memory starts anew.
+#: Pieces that are remembered; when full, the memory starts anew.
 REMEMBERED = 400_000
 #: White space as Unicode has it: fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Patterns of the two public tokenizers: fixed values.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Endings that both public tokenizers split off: fixed values.
+ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+#: Texts below this character are in normal form C, and their lower case is that of each character alone.
+PLAIN_BELOW = 0x130
+
+
+def _class(kind: str) -> str:
+    """The characters below PLAIN_BELOW of one Unicode category, for a regular expression's brackets."""
+    return "".join(re.escape(chr(c)) for c in range(PLAIN_BELOW) if unicodedata.category(chr(c)).startswith(kind))
+
+
+def _patterns() -> tuple[str, str]:
+    """How the byte-level tokenizer, and the one that drops white space, split texts below PLAIN_BELOW."""
+    letters, numbers = _class("L"), _class("N")
+    others = f"[^{letters}{numbers}{SPACE}]+"
+    return (f" ?[{letters}]+|{ENDINGS}| ?[{numbers}]+| ?{others}|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+", f"[{letters}]+|[{numbers}]|{ENDINGS}|{others}")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -43,42 +57,55 @@ def shared_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+class _Pieces(dict):
+    """The ids, as bytes, of pieces of plain texts; those of a new piece come from the tokenizer's model."""
+
+    def __init__(self, model, n_ids: int):
+        super().__init__()
+        self.model, self.chars = model, _byte_chars()
+        self.table = [_bytes([i]) for i in range(n_ids)]
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.model.tokenize(piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.chars))
+        ids = self[piece] = self.table[found[0].id] if len(found) == 1 else b"".join([self.table[t.id] for t in found])
+        return ids
+
+
+class _Units(dict):
+    """The ids, as bytes, of stretches between white space; a new one is encoded as a text."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self[unit] = _bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
+        return ids
+
+
 class WordTokenizer:
-    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, with special tokens' strings as plain text."""
+    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them. The string of a special token in a text is that
+    token, as the library has it by default; with ``plain_special`` it is ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model, self.lowers = self.tokenizer.model, self.tokenizer.normalizer is not None
-        self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
-        self.units = re.compile(f"[^{SPACE}]+" if self.lowers else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.chars = _byte_chars()
-        self.ids_of: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _new(self, unit: str) -> bytes:
-        plain = unit.isascii()
-        # Strings below U+0130 are in normal form C, and their lower case is that of each character alone.
-        if not plain and max(unit) >= "\u0130":
-            return _bytes(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-        if self.lowers:
-            unit = unit.lower()
-        out = []
-        # A word of plain letters, with the space before it, is one piece.
-        for piece in (unit,) if plain and unit[unit[0] == " " :].isalpha() else self.pattern.findall(unit):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = _bytes([t.id for t in self.model.tokenize(piece if piece.isalpha() and plain else piece.encode().decode("latin-1").translate(self.chars))])
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        self.tokenizer.encode_special_tokens = plain_special
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [] if plain_special else [t.content for t in added.values()]
+        self.lowers = self.tokenizer.normalizer is not None
+        self.split = re.compile(_patterns()[self.lowers]).findall
+        self.cut = re.compile(f"[^{SPACE}]+" if self.lowers else f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.beyond = re.compile(f"[{chr(PLAIN_BELOW)}-{chr(sys.maxunicode)}]").search
+        self.pieces = _Pieces(self.tokenizer.model, self.tokenizer.get_vocab_size())
+        self.units = _Units(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        units = self.units(text)
-        known = self.ids_of
-        if len(known) > REMEMBERED:
-            known.clear()
-            self.pieces.clear()
-        for unit in set(units).difference(known):
-            known[unit] = self._new(unit)
-        return b"".join(map(known.__getitem__, units))
+        for known in (self.pieces, self.units):
+            if len(known) > REMEMBERED:
+                known.clear()
+        if any(s in text for s in self.special):
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if not text.isascii() and self.beyond(text):
+            return b"".join(map(self.units.__getitem__, self.cut(text)))
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower() if self.lowers else text)))
