@@ -39,7 +39,7 @@ def expected(rows):
 
 
 def test_round_trip(spark):
-    rows = [(None, "none")] + [(i, None if i % 9 == 0 else "" if i % 9 == 1 else f"Word {i} thing. " * (i % 40)) for i in range(-50, 300)] + [(5000, "long text " * 30_000)]
+    rows = [(None, "none")] + [(i, None if i % 9 == 0 else "" if i % 9 == 1 else f"Word {i} thing. " * (i % 40)) for i in range(-50, 300)] + [(5000, "long text " * 30_000), (5001, "a <|endoftext|> b")]
     df = spark.createDataFrame([(*r, 1, b"x") for r in rows[::-1]], "doc_id long, text string, part int, payload binary")
     path = shared_dir(spark, "t")
     write_tokens(df, path, PATH, segment_tokens=500)
