@@ -114,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 1024, max_segme
     ``prompt`` names a column with the number of leading tokens that bear no loss. Without ``cut`` examples stay whole, and
     one that exceeds a limit is an error. A sequence's tokens, segments and loss-bearing tokens stay within the limits."""
     bounded_batches(docs.sparkSession)
-    limits = (max_tokens, max_segments, max_loss or max_tokens)
+    limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
