@@ -6,7 +6,7 @@ from vecspark.config import HnswParams
 from vecspark.functions import vector as V
 from vecspark.operators import ann
 from vecspark.operators.hnsw import HnswGraph, draw_levels
-from vecspark.operators.topk import batch_topk, exact_topk, recall
+from vecspark.operators.topk import batch_topk, exact_topk, pairwise, recall
 
 
 def naive(metric, ords, many, q, k):
@@ -42,6 +42,17 @@ def test_batch_equals_naive(spark, metric):
             assert [(r.ord, r.score) for r in got if r.qid == i] == naive(metric, ords, many, q, k)
 
 
+def test_pairwise_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("vecspark.operators.topk.QUERY_BYTES", 40)
+    rng = np.random.default_rng(6)
+    many = rng.normal(size=(50, 5)).astype(np.float32)
+    points = frame(spark, range(50), many)
+    got = pairwise(points.repartition(3), points.where("ord % 10 = 0").withColumnRenamed("ord", "qid")).collect()
+    assert len(got) == 250
+    for r in got:
+        assert r.l2 == V.distances("L2", many[[r.ord]], many[r.qid])[0] and r.dot == V.distances("DOT", many[[r.ord]], many[r.qid])[0]
+
+
 def test_no_points_and_no_queries(spark):
     none = frame(spark, [], [])
     assert exact_topk(none, [1.0], 3).collect() == []
@@ -88,7 +99,7 @@ def test_structure(gaussian):
     params = HnswParams(m=8)
     graph = HnswGraph.build("L2", params, np.arange(1500), many[:1500])
     again = HnswGraph.build("L2", params, np.arange(1500), many[:1500])
-    assert graph.rows() == again.rows()
+    assert graph.rows() == again.rows() == HnswGraph.from_bytes("L2", params, graph.to_bytes()).rows()
     for layer, lists in enumerate(graph.links):
         assert all(len(x) <= (params.m0 if layer == 0 else params.m) and n not in x and len(set(x.tolist())) == len(x) for n, x in lists.items())
     seen, todo = {graph.entry}, [graph.entry]

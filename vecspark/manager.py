@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 
@@ -11,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from vecspark.collection import Collection
 from vecspark.config import CollectionConfig, DurabilityConfig, FilterConfig
 from vecspark.errors import CollectionExistsError, CollectionNotFoundError
-from vecspark.sources.store import Files, Manifests
+from vecspark.sources.store import Files, Manifests, shared_root
 
 DROPPED = ".dropped-"
 
 
 class CollectionManager:
-    """Without a folder collections live in a temporary one and end with it."""
+    """Without a folder collections live in a new one below ``spark.checkpoint.dir``, and no other manager finds them."""
 
     def __init__(self, spark: SparkSession, root: str | None = None, durability: DurabilityConfig = DurabilityConfig(), filter_config: FilterConfig = FilterConfig()):
         self.durable = root is not None
-        self.spark, self.files = spark, Files(spark, root or tempfile.mkdtemp(prefix="vecspark-"))
+        self.spark, self.files = spark, Files(spark, root or shared_root(spark, "collections"))
         self.durability, self.filter_config = durability, filter_config
         self._lock, self._open = threading.RLock(), {}
         self.files.mkdirs("")

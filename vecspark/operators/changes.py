@@ -9,11 +9,18 @@ UPSERT, DELETE, CREATE, DROP = 1, 2, 3, 4
 RANGE_ROWS = 1_000_000
 
 
+def last_changes(log: DataFrame) -> DataFrame:
+    """(id, lsn, op) of the last upsert or delete of each id. One number a change says both, so changes are combined before
+    the shuffle in whole-stage code, and an id with very many of them costs one row a task."""
+    last = log.where(F.col("op").isin(UPSERT, DELETE)).groupBy("id").agg(F.max(F.col("lsn") * 4 + F.col("op")).alias("last"))
+    return last.select("id", F.expr("last div 4").alias("lsn"), F.pmod("last", F.lit(4)).alias("op"))
+
+
 def latest(log: DataFrame, *columns: str) -> DataFrame:
-    """(id, lsn, ...) of the points that are live: the last change of each id, unless it is a delete. Changes are combined
-    before the shuffle, so an id with very many of them costs one row a task."""
-    last = log.where(F.col("op").isin(UPSERT, DELETE)).groupBy("id").agg(F.max_by(F.struct("lsn", "op", *columns), "lsn").alias("last"))
-    return last.where(F.col("last.op") == UPSERT).select("id", "last.lsn", *[f"last.{c}" for c in columns])
+    """(id, lsn, ...) of the points that are live: the last change of each id, unless it is a delete. Other columns, such as
+    vectors, are fetched for these changes only, by lsn, which differs between changes."""
+    live = last_changes(log).where(F.col("op") == UPSERT).select("id", "lsn")
+    return live.join(log.select("lsn", *columns), "lsn").select("id", "lsn", *columns) if columns else live
 
 
 def with_ordinals(log: DataFrame, first: int = 0) -> DataFrame:
@@ -45,8 +52,8 @@ def dense_order(rows: DataFrame, by: str, name: str, first: int = 0, total: int
 
 def counters(log: DataFrame) -> DataFrame:
     """One row: stored versions, live points, tombstones, and their ratio (0 when nothing is stored), without compaction."""
-    by_id = log.where(F.col("op").isin(UPSERT, DELETE)).groupBy("id").agg(F.count_if(F.col("op") == UPSERT).alias("n"), F.max_by("op", "lsn").alias("last"))
-    sums = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("stored"), F.count_if(F.col("last") == UPSERT).alias("live"))
+    by_id = log.where(F.col("op").isin(UPSERT, DELETE)).groupBy("id").agg(F.count_if(F.col("op") == UPSERT).alias("n"), F.max(F.col("lsn") * 4 + F.col("op")).alias("last"))
+    sums = by_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("stored"), F.count_if(F.pmod("last", F.lit(4)) == UPSERT).alias("live"))
     return sums.select("stored", "live", (F.col("stored") - F.col("live")).alias("tombstones"), ratio(F.col("stored") - F.col("live"), F.col("stored")).alias("tombstone_ratio"))
 
 
@@ -54,8 +61,10 @@ def ratio(tombstones: Column, stored: Column) -> Column:
     return F.when(stored > 0, tombstones / stored).otherwise(0.0)
 
 
-def needs_compaction(tombstones: int, stored: int, above: float = 0.20) -> bool:
-    """Strictly more than the share."""
+def needs_compaction(tombstones: int | Column, stored: int | Column, above: float = 0.20) -> bool | Column:
+    """Strictly more than the share; of numbers, or of columns."""
+    if isinstance(stored, Column):
+        return ratio(tombstones, stored) > above
     return stored > 0 and tombstones / stored > above
 
 
@@ -66,7 +75,7 @@ def remap(versions: DataFrame) -> DataFrame:
 
 
 def last_of_batch(batch: DataFrame) -> DataFrame:
-    """Of a batch (pos, id, ...) the last row of each id; equal ids keep the highest pos."""
+    """Of a batch (pos, id, ...), whose pos differ, the last row of each id; equal ids keep the highest pos."""
     others = [c for c in batch.columns if c not in ("id", "pos")]
-    last = batch.groupBy("id").agg(F.max_by(F.struct("pos", *others), "pos").alias("last"))
-    return last.select("id", "last.pos", *[f"last.{c}" for c in others])
+    last = batch.groupBy("id").agg(F.max("pos").alias("pos"))
+    return last.join(batch.select("pos", *others), "pos").select("id", "pos", *others)

@@ -8,6 +8,7 @@ nodes before it are found exactly, a block of rows at a time, instead of by walk
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 
@@ -180,6 +181,24 @@ class HnswGraph:
         order = np.lexsort((self.ords[nodes], score))[:k]
         return self.ords[nodes[order]], score[order]
 
+    def to_bytes(self) -> bytes:
+        """The graph as plain arrays: a layer's links are its nodes, where each node's neighbours end, and all neighbours."""
+        arrays = {"ords": self.ords, "vectors": self.vectors, "levels": self.levels}
+        for layer, lists in enumerate(self.links):
+            arrays |= {f"nodes{layer}": np.array(list(lists), np.int64), f"ends{layer}": np.cumsum([len(x) for x in lists.values()], dtype=np.int64), f"links{layer}": np.concatenate(list(lists.values()))}
+        out = io.BytesIO()
+        np.savez(out, **arrays)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, metric: str, params: HnswParams, data: bytes) -> HnswGraph:
+        with np.load(io.BytesIO(data), allow_pickle=False) as held:
+            links = []
+            for layer in range(sum(name.startswith("nodes") for name in held.files)):
+                ends, others = held[f"ends{layer}"].tolist(), held[f"links{layer}"]
+                links.append({n: others[a:b] for n, a, b in zip(held[f"nodes{layer}"].tolist(), [0, *ends], ends, strict=False)})
+            return cls(metric, params, held["ords"], held["vectors"], held["levels"], links)
+
     def rows(self) -> list[tuple[int, int, int, list[int]]]:
         """(ord, level, layer, ordinals of neighbours) of every list."""
         return [(int(self.ords[n]), int(self.levels[n]), layer, self.ords[x].tolist()) for layer, lists in enumerate(self.links) for n, x in lists.items()]

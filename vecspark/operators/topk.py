@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from vecspark.functions import vector as V
 
-#: Queries that are broadcast together: at dim 4096 they are 16 MB.
-QUERY_BLOCK = 1024
+#: Bytes of the queries that are broadcast together: 1,024 at dim 4096, 65,536 at dim 64.
+QUERY_BYTES = 16 << 20
 
 
 def exact_topk(points: DataFrame, query, k: int, metric: str = "L2") -> DataFrame:
@@ -47,7 +47,7 @@ def merge_topk(rows: DataFrame, k: int) -> DataFrame:
 def batch_topk(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2") -> DataFrame:
     """(qid, rank, ord, score) of the k points (ord, vector) closest to each of the queries (qid, vector), all prepared.
 
-    Queries go out in blocks of QUERY_BLOCK, so what is broadcast is bounded. Each batch of points is scored in numpy and
+    Queries go out in blocks of QUERY_BYTES, so what is broadcast is bounded. Each batch of points is scored in numpy and
     trimmed to k a query before anything is shuffled; points themselves never are."""
     out = None
     for qids, many in query_blocks(queries):
@@ -71,13 +71,34 @@ def batch_topk(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2"
     return out
 
 
+def pairwise(points: DataFrame, queries: DataFrame, metrics: tuple[str, ...] = ("L2", "DOT")) -> DataFrame:
+    """(qid, ord, a distance for each metric) between every query (qid, vector) and every point (ord, vector), all prepared.
+    Points are scanned once for each block of queries and never shuffled."""
+    names = [m.lower() for m in metrics]
+    schema, out = ", ".join(["qid long, ord long", *[f"{n} float" for n in names]]), None
+    for qids, many in query_blocks(queries):
+        shared = points.sparkSession.sparkContext.broadcast((qids, many))
+
+        def scored(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, queries = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    ords, many = batch.column("ord"), matrix(batch.column("vector"), queries.shape[1])
+                    for qid, q in zip(qids.tolist(), queries, strict=True):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ords), qid)), ords, *[pa.array(V.distances(m, many, q)) for m in metrics]], names=["qid", "ord", *names])
+
+        part = points.select("ord", "vector").mapInArrow(scored, schema)
+        out = part if out is None else out.union(part)
+    return out if out is not None else points.sparkSession.createDataFrame([], schema)
+
+
 def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, QUERY_BLOCK at a time."""
+    """Query ids and vectors, about QUERY_BYTES of vectors at a time."""
     qids, many = [], []
     for row in queries.select("qid", "vector").toLocalIterator():
         qids.append(row.qid)
         many.append(row.vector)
-        if len(qids) == QUERY_BLOCK:
+        if 4 * len(qids) * len(row.vector) >= QUERY_BYTES:
             yield np.array(qids, np.int64), np.array(many, np.float32)
             qids, many = [], []
     if qids:

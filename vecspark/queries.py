@@ -14,11 +14,10 @@ from vecspark.config import HnswParams
 from vecspark.functions import metadata as M
 from vecspark.functions import vector as V
 from vecspark.operators import ann, changes
-from vecspark.operators.topk import batch_topk, exact_topk, merge_topk, recall
+from vecspark.operators.topk import batch_topk, exact_topk, merge_topk, pairwise, recall
 from vecspark.plans import filters
 from vecspark.plans.planner import plan_column
 
-QUERIES = 20
 LAST_SNAPSHOT = 6000
 
 
@@ -63,7 +62,7 @@ def _knn(metric: str):
 def _knn_batch(metric: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = _points(spark, sf_dir, metric)
-        return batch_topk(points, points.where(F.col("ord") < QUERIES).select(F.col("ord").alias("qid"), "vector"), 10, metric)
+        return batch_topk(points, _queries(points), 10, metric)
 
     return query
 
@@ -73,11 +72,8 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairwise_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir).where("ord < 30").select("ord", "vector")
-    other = points.select(F.col("ord").alias("other"), F.col("vector").alias("w"))
-    # A stated set of 30 against itself.
-    pairs = points.join(F.broadcast(other), F.col("ord") <= F.col("other"))
-    return pairs.select("ord", "other", V.squared_l2(F.col("vector"), F.col("w")).alias("l2"), V.distance("DOT", F.col("vector"), F.col("w")).alias("neg_dot"))
+    points = _points(spark, sf_dir)
+    return pairwise(points, _queries(points)).select("qid", "ord", "l2", F.col("dot").alias("neg_dot"))
 
 
 def knn_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +135,7 @@ def filtered_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     eligible = points.where(filters.parse({"field": "label", "range": {"lt": 5}}).column())
-    return batch_topk(eligible, points.where(F.col("ord") < QUERIES).select(F.col("ord").alias("qid"), "vector"), 5)
+    return batch_topk(eligible, _queries(points), 5)
 
 
 PLANNED = {"label is 1": {"field": "label", "eq": 1}, "label is 1, 2 or 3": {"field": "label", "in": [1, 2, 3]}, "label under 0.5": {"field": "label", "range": {"lt": 0.5}}, "label is 99": {"field": "label", "eq": 99}}
@@ -168,7 +164,7 @@ def delete_then_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tombstone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.counters(_log(spark, sf_dir)).withColumn("needs_compaction", F.col("tombstone_ratio") > 0.20)
+    return changes.counters(_log(spark, sf_dir)).withColumn("needs_compaction", changes.needs_compaction(F.col("tombstones"), F.col("stored")))
 
 
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,14 +177,8 @@ def compaction_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.remap(numbered.join(live, "lsn", "left").select("ord", F.coalesce("live", F.lit(False)).alias("live")))
 
 
-def snapshot_plus_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    snapshot = changes.latest(log.where(F.col("lsn") <= LAST_SNAPSHOT), "value").select("lsn", F.lit(changes.UPSERT).alias("op"), "id", "value")
-    return changes.latest(snapshot.unionByName(log.where(F.col("lsn") > LAST_SNAPSHOT).select("lsn", "op", "id", "value")), "value")
-
-
 def last_of_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.last_of_batch(_log(spark, sf_dir).where("lsn < 500").select(F.col("lsn").alias("pos"), "id", "value"))
+    return changes.last_of_batch(_log(spark, sf_dir).select(F.col("lsn").alias("pos"), "id", "value"))
 
 
 def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,16 +194,6 @@ def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", V.invalid("COSINE", 64, point_id, broken).alias("why"))
 
 
-def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir)
-    return points.agg(F.count("*").alias("live"), (F.count("*") * 64 * 4).alias("memory_bytes"), F.max("ord").alias("last_ord"))
-
-
-def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "events")
-    return rows.groupBy(F.col("event_type").alias("name")).agg(F.countDistinct("user_id").alias("live")).orderBy("name")
-
-
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _documents(spark, sf_dir)
     ids = lambda f: documents.where(filters.parse(f).column()).select("doc_id")
@@ -248,15 +228,14 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_of_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
     queries = _queries(points)
-    pairs = points.crossJoin(queries.withColumnRenamed("vector", "q")).select("qid", "ord", V.squared_l2(F.col("vector"), F.col("q")).alias("score"))
-    return recall(batch_topk(points, queries, 10), merge_topk(pairs, 10), 10)
+    return recall(batch_topk(points, queries, 10), merge_topk(pairwise(points, queries, ("L2",)).select("qid", "ord", F.col("l2").alias("score")), 10), 10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"knn_{m.lower()}": _knn(m) for m in ("L2", "DOT", "COSINE")} | {f"knn_batch_{m.lower()}": _knn_batch(m) for m in ("L2", "DOT", "COSINE")}
     out |= {name: _filter(name) for name in FILTERS}
     named = (vector_normalize, pairwise_distance, knn_with_metadata, knn_tie_break, knn_after_delete, metadata_maps, filtered_knn_exact, filtered_knn_batch, plan_selectivity, upsert_latest, point_get,
-             delete_then_live, tombstone_stats, ordinals, compaction_remap, snapshot_plus_log, last_of_batch, validate_vectors, collection_stats, list_collections, set_operations, hnsw_knn, hnsw_filtered, hnsw_graph, recall_at_k, recall_of_exact)
+             delete_then_live, tombstone_stats, ordinals, compaction_remap, last_of_batch, validate_vectors, set_operations, hnsw_knn, hnsw_filtered, hnsw_graph, recall_at_k, recall_of_exact)
     return out | {f.__name__: f for f in named}
 
 
@@ -279,17 +258,17 @@ def oracle_sql() -> dict[str, str]:
     out = {}
     for metric, cte, rows, score in (("l2", _POINTS, "points", _l2), ("dot", _POINTS, "points", _dot), ("cosine", _UNIT, "unit", _dot)):
         out[f"knn_{metric}"] = f"WITH {cte} SELECT b.ord, {score('b.vector', 'q.vector')} AS score FROM {rows} b, {rows} q WHERE q.ord = 0 ORDER BY score, b.ord LIMIT 10"
-        out[f"knn_batch_{metric}"] = (f"WITH {cte}, scored AS (SELECT q.ord AS qid, b.ord, {score('b.vector', 'q.vector')} AS score FROM {rows} b, {rows} q WHERE q.ord < {QUERIES}), "
+        out[f"knn_batch_{metric}"] = (f"WITH {cte}, scored AS (SELECT q.ord AS qid, b.ord, {score('b.vector', 'q.vector')} AS score FROM {rows} b, {rows} q WHERE q.ord % 50 = 0), "
                                       "ranked AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score, ord))::int AS rank FROM scored) SELECT qid, rank, ord, score FROM ranked WHERE rank <= 10")
     out |= {name: f"WITH {_DOCS} SELECT doc_id FROM docs WHERE {test}" for name, test in _SQL_FILTERS.items()}
     out["vector_normalize"] = f"WITH {_UNIT} SELECT ord, (i - 1)::int AS at, vector[i] AS x FROM unit, range(1, 65) t(i)"
-    out["pairwise_distance"] = f"WITH {_POINTS} SELECT a.ord, b.ord AS other, {_l2('a.vector', 'b.vector')} AS l2, {_dot('a.vector', 'b.vector')} AS neg_dot FROM points a, points b WHERE a.ord < 30 AND b.ord < 30 AND a.ord <= b.ord"
+    out["pairwise_distance"] = f"WITH {_POINTS} SELECT q.ord AS qid, b.ord, {_l2('b.vector', 'q.vector')} AS l2, {_dot('b.vector', 'q.vector')} AS neg_dot FROM points b, points q WHERE q.ord % 50 = 0"
     knn = lambda q, where, k=10, extra="": f"WITH {_POINTS} SELECT b.ord, {_l2('b.vector', 'q.vector')} AS score{extra} FROM points b, points q WHERE q.ord = {q} AND {where} ORDER BY score, b.ord LIMIT {k}"
     out["knn_with_metadata"] = knn(3, "true", extra=", b.label::double AS label")
     out["knn_tie_break"] = f"WITH {_POINTS}, twice AS (SELECT ord, vector FROM points UNION ALL SELECT ord + 10000, vector FROM points) SELECT b.ord, {_l2('b.vector', 'q.vector')} AS score FROM twice b, points q WHERE q.ord = 0 ORDER BY score, b.ord LIMIT 9"
     out["knn_after_delete"] = knn(1, "b.ord % 3 <> 1")
     out["filtered_knn_exact"] = knn(5, "b.label IN (1, 3) AND b.ord >= 100")
-    out["filtered_knn_batch"] = (f"WITH {_POINTS}, scored AS (SELECT q.ord AS qid, b.ord, {_l2('b.vector', 'q.vector')} AS score FROM points b, points q WHERE q.ord < {QUERIES} AND b.label < 5), "
+    out["filtered_knn_batch"] = (f"WITH {_POINTS}, scored AS (SELECT q.ord AS qid, b.ord, {_l2('b.vector', 'q.vector')} AS score FROM points b, points q WHERE q.ord % 50 = 0 AND b.label < 5), "
                                  "ranked AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY score, ord))::int AS rank FROM scored) SELECT qid, rank, ord, score FROM ranked WHERE rank <= 5")
     out["metadata_maps"] = f"WITH {_DOCS} SELECT doc_id, lang, quality::double AS quality, toxic = 1 AS toxic, ((lang IS NOT NULL)::int + (source IS NOT NULL)::int)::int AS strings, ((n_chars IS NOT NULL)::int + (quality IS NOT NULL)::int)::int AS numbers FROM docs"
     tests = ["label = 1", "label IN (1, 2, 3)", "label < 0.5", "label = 99", "vec_id < 5"]
@@ -302,12 +281,9 @@ def oracle_sql() -> dict[str, str]:
     out["tombstone_stats"] = f"WITH {_EVENTS}, c AS (SELECT count(*) FILTER (NOT gone) AS stored, count(*) FILTER (rn = 1 AND NOT gone) AS live FROM ranked) SELECT stored, live, stored - live AS tombstones, CASE WHEN stored > 0 THEN (stored - live) / stored ELSE 0 END AS tombstone_ratio, (stored - live) / stored > 0.20 AS needs_compaction FROM c"
     out["ordinals"] = f"WITH {_EVENTS} SELECT lsn, id, row_number() OVER (ORDER BY lsn) - 1 AS ord FROM log WHERE NOT gone"
     out["compaction_remap"] = f"WITH {_EVENTS}, n AS (SELECT row_number() OVER (ORDER BY lsn) - 1 AS ord, rn = 1 AS live FROM ranked WHERE NOT gone) SELECT ord, CASE WHEN live THEN row_number() OVER (PARTITION BY live ORDER BY ord) - 1 ELSE -1 END AS new_ord FROM n"
-    out["snapshot_plus_log"] = f"WITH {_EVENTS} SELECT id, lsn, value FROM ranked WHERE rn = 1 AND NOT gone"
-    out["last_of_batch"] = "SELECT user_id AS id, max(event_id) AS pos, arg_max(value, event_id) AS value FROM events WHERE event_id < 500 GROUP BY user_id"
+    out["last_of_batch"] = "SELECT user_id AS id, max(event_id) AS pos, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
     out["validate_vectors"] = """SELECT vec_id, CASE vec_id % 10 WHEN 1 THEN 'vector of ' || vec_id || ' has dim 63, expected 64' WHEN 2 THEN 'vector of ' || vec_id || ' has a component that is not finite'
         WHEN 3 THEN 'vector of ' || vec_id || ' has a component that is not finite' WHEN 4 THEN 'vector of ' || vec_id || ' is zero, which COSINE cannot use' WHEN 5 THEN 'id must be 1-256 chars: ' END AS why FROM embeddings"""
-    out["collection_stats"] = "SELECT count(*) AS live, count(*) * 256 AS memory_bytes, max(vec_id) AS last_ord FROM embeddings"
-    out["list_collections"] = "SELECT event_type AS name, count(DISTINCT user_id) AS live FROM events GROUP BY 1"
     out["set_operations"] = f"WITH {_DOCS} SELECT DISTINCT doc_id FROM docs WHERE (({_SQL_FILTERS['filter_or']}) OR ({_SQL_FILTERS['filter_and']})) AND NOT coalesce({_SQL_FILTERS['filter_range']}, false)"
     out["recall_of_exact"] = "SELECT 1.0::double AS recall"
     return out

@@ -1,27 +1,16 @@
-"""A streaming sink: each micro-batch of changes becomes one commit of upserts and one of deletes."""
+"""A streaming sink: each micro-batch of changes becomes one commit."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vecspark.collection import BATCH, Collection
-from vecspark.operators.changes import DELETE, UPSERT
+from vecspark.collection import Collection
 
 
 def apply_changes(collection: Collection, changes: DataFrame) -> None:
     """Applies rows (pos, op, id, vector, maps): the last change of each id by ``pos`` counts."""
-    columns = [c.split()[0] for c in BATCH.split(", ")]
-    last = changes.groupBy("id").agg(F.max_by(F.struct("op", *[c for c in columns if c != "id"]), "pos").alias("last")).select("id", "last.*")
-    last = last.persist()
-    try:
-        upserts = last.where(F.col("op") == UPSERT)
-        if not upserts.isEmpty():
-            collection.upsert(upserts)
-        collection.delete_frame(last.where(F.col("op") == DELETE).select("id"))
-    finally:
-        last.unpersist()
+    collection.apply(changes)
 
 
 def start(collection: Collection, stream: DataFrame, checkpoint: str, **options) -> StreamingQuery:
