@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from vecspark.llm.exact_dedup import DigestIndex, exact_dedup, sha256
+from vecspark.llm.exact_dedup import DigestIndex, drop_copies, exact_dedup, sha256
 
 SCHEMA = "doc_id long, text string, n long, digest string, keep_id string"
 
@@ -33,7 +33,8 @@ def test_equals_brute_force(spark):
 
 def test_batches_and_compaction(spark):
     rows = ROWS + [(100 + i, "copy") for i in range(40)]
-    assert got(exact_dedup(frame(spark, rows), memtables=9)) == brute(rows)
+    for memtable_rows, fanout in ((1, 2), (3, 4), (5, 100)):
+        assert got(exact_dedup(frame(spark, rows), memtable_rows=memtable_rows, fanout=fanout)) == brute(rows)
 
 
 def test_colliding_digests_are_told_apart_by_bytes(spark):
@@ -49,13 +50,20 @@ def test_empty_and_hot(spark):
 
 def test_null_and_repeated_ids(spark):
     out = got(exact_dedup(frame(spark, [(None, "q"), (1, "q"), (2, "r"), (2, "r")])).fillna(-1))
-    assert [(r[0], r[1], r[2], r[3]) for r in out] == [(-1, -1, 2, True), (1, -1, 2, False), (2, 2, 2, True), (2, 2, 2, True)]
+    assert [(r[0], r[1], r[2], r[3]) for r in out] == [(-1, -1, 2, True), (1, -1, 2, False), (2, 2, 2, False), (2, 2, 2, True)]
 
 
 def test_levels_merge(spark):
-    index = DigestIndex(spark, fanout=2)
-    for i in range(5):
-        index.flush(spark.createDataFrame([(i, 5, "d", "d"), (10 + i, 5, f"e{i}", "e")], "doc_id long, points int, digest string, sha string"))
-    assert [len(x) for x in index.levels] == [1, 0, 1]
-    entries = {r.digest: (r.n, r.keep_id) for r in index.entries().collect()}
-    assert entries["d"] == (5, 0) and entries["e3"] == (1, 13)
+    rows = [(i, 10 - i, 5, b"d" if i % 2 else b"e%d" % i) for i in range(10)] + [((1 << 33) + i, 50 + i, 5 + i, b"d") for i in range(3)]
+    index = DigestIndex(spark.createDataFrame(rows, "row long, doc_id long, points int, digest binary"), memtable_rows=2, fanout=2)
+    assert index.runs == [7, 5, 3, 2, 1]  # five runs of ten rows, two of three
+    entries = {bytes(r.digest): (r.n, r.points, r.keep_id, r.keep_row) for r in index.entries.collect()}
+    assert entries[b"d"] == (8, 7, 52, (1 << 33) + 2) and entries[b"e4"] == (1, 5, 6, 4) and [bytes(r.digest) for r in index.hits().collect()] == [b"d"]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(0, "same text", 0), (1, "sametext", 1), (1, "unique text", 2), (5, "rep", 3), (5, "rep", 4), (None, "nn", 5), (None, "nn", 6), (None, None, 7), (8, " ", 8), (9, "", 9)]
+    docs = spark.createDataFrame([(d, t, i, "x") for d, t, i in rows], "doc_id long, text string, row long, whole string").coalesce(1)
+    left = drop_copies(docs)
+    assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == [0, 2, 3, 5, 8]
+    assert drop_copies(docs.limit(0)).collect() == []

@@ -20,9 +20,11 @@ BATCH_BYTES = 4_000_000
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    A temporary folder takes its place only where that setting is missing, as in local tests."""
+    A temporary folder takes its place only where that setting is missing and Spark runs on this machine alone, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vecspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -38,6 +40,13 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str, **more: Column) -> DataFrame:
+    """(row, whole, ...): the rows written once with a number each, so that later steps name a row whatever its doc_id;
+    ``whole`` holds all their columns, and ``more`` are computed from these."""
+    numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in more.items()])
+    return stored(numbered, name)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches to Python are cut by bytes, not by rows alone, so that long texts don't add up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -76,45 +85,42 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-#: Bits of a broadcast filter: 1 MB at most, whatever the input. It lets through all rows it was made of, and others as it
-#: fills up.
-FILTER_BITS = 1 << 23
-
-
-def _slot(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+#: Bits of a broadcast filter, at least and at most: 32 MB, whatever the input. A filter lets through all rows it was made of,
+#: and others as it fills up.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 
 
-def bit_filter(rows: DataFrame, key: str) -> DataFrame:
-    """(bucket, bits): a bitmap over the hashes of a column, FILTER_BITS / 32768 rows of 4 KB at most."""
-    return rows.groupBy(F.bitmap_bucket_number(_slot(key)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot(key))).alias("bits"))
+class BitFilter:
+    """A bitmap over the hashes of a column of ``rows``, which should be written rows, with about 16 bits for each."""
 
+    def __init__(self, rows: DataFrame, key: str):
+        self.key = key
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * rows.count()).bit_length()))
+        slot = self._slot()
+        self.bitmap = rows.groupBy(F.bitmap_bucket_number(slot).alias("filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("filter_bits"))
 
-def marked(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """The rows with ``in_filter``: false only if the key is surely not among those of the filter."""
-    buckets = bitmap.select(F.col("bucket").alias("filter_bucket"), F.col("bits").alias("filter_bits"))
-    at = rows.withColumn("filter_at", F.bitmap_bit_position(_slot(key)))
-    joined = at.join(F.broadcast(buckets), F.bitmap_bucket_number(_slot(key)) == F.col("filter_bucket"), "left")
-    byte = F.conv(F.hex(F.expr("substring(filter_bits, cast(filter_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.getbit(byte, F.pmod("filter_at", F.lit(8)).cast("int"))
-    return joined.withColumn("in_filter", F.coalesce(bit == 1, F.lit(False))).drop("filter_bucket", "filter_bits", "filter_at")
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.bits))
 
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """The rows with ``in_filter``: false only if the key is surely not among those of the filter."""
+        at = rows.withColumn("filter_at", F.bitmap_bit_position(self._slot()))
+        joined = at.join(F.broadcast(self.bitmap), F.bitmap_bucket_number(self._slot()) == F.col("filter_bucket"), "left")
+        byte = F.conv(F.hex(F.expr("substring(filter_bits, cast(filter_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        bit = F.getbit(byte, F.pmod("filter_at", F.lit(8)).cast("int"))
+        return joined.withColumn("in_filter", F.coalesce(bit == 1, F.lit(False))).drop("filter_bucket", "filter_bits", "filter_at")
 
-def passing(rows: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
-    """The rows whose key may be in the filter."""
-    return marked(rows, key, bitmap).where("in_filter").drop("in_filter")
+    def passing(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key may be in the filter."""
+        return self.marked(rows).where("in_filter").drop("in_filter")
 
 
-def matching(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ``ids`` (doc_id). Texts of few other rows are shuffled."""
-    return passing(rows, "doc_id", bit_filter(ids, "doc_id")).join(ids, "doc_id", "left_semi")
+def matching(rows: DataFrame, ids: DataFrame, key: str = "row") -> DataFrame:
+    """The rows whose key is among ``ids``. Texts of few other rows are shuffled."""
+    return BitFilter(ids, key).passing(rows).join(ids, key, "left_semi")
 
 
-def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids`` (doc_id); rows without a doc_id stay. Only rows that may be among them are
-    shuffled. ``rows`` may have any columns."""
-    names = rows.columns
-    packed = rows.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in names]).alias("whole"))
-    either = marked(packed, "doc_id", bit_filter(ids, "doc_id"))
-    kept = either.where("not in_filter").union(either.where("in_filter").join(ids, "doc_id", "left_anti").select(either.columns))
-    return kept.select("whole.*")
+def without(rows: DataFrame, ids: DataFrame, key: str = "row") -> DataFrame:
+    """The rows whose key is not among ``ids``. Only rows that may be among them are shuffled."""
+    either = BitFilter(ids, key).marked(rows)
+    return either.where("not in_filter").union(either.where("in_filter").join(ids, key, "left_anti").select(either.columns)).drop("in_filter")

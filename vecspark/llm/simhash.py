@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.bk_tree import BkForest, _ranges
-from vecspark.llm.common import bounded_batches, matching, small_batches, stored, text_of, texts
+from vecspark.llm.common import bounded_batches, keyed, matching, small_batches, stored, text_of, texts, without
 from vecspark.llm.components import connected_components
 
 RADIUS, WORDS, SEED = 4, 4, 42
@@ -166,11 +166,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, s
 
 #: For similar texts: words of a shingle, similarity from which texts are linked, bits within which fingerprints of such
 #: texts lie (about 10 on average at 0.8), bands of the min-hash that deals texts into shards, and hashes of a band.
-TEXT_WORDS, SIMILARITY, TEXT_RADIUS, BANDS, BAND_HASHES = 5, 0.8, 20, 14, 3
+TEXT_WORDS, SIMILARITY, TEXT_RADIUS, BANDS, BAND_HASHES = 5, 0.8, 22, 14, 3
 #: Shards up to this size have all their pairs within the radius verified at once. In larger ones each text is first verified
 #: against its nearest neighbour and against the HUBS most central texts, and then all pairs of different components are.
-ALL_PAIRS, HUBS = 24, 6
-#: Texts, and hashes of shingles, of one part of a larger shard; two parts are in memory together.
+ALL_PAIRS, HUBS = 24, 3
+#: Texts of a part of a larger shard in the first step, where parts are searched one by one.
+STEP_PART = 1024
+#: Texts, and hashes of shingles, of one part of a larger shard in the second; two parts are in memory together.
 PART_ROWS, PART_HASHES = 1024, 1 << 20
 _rng = np.random.default_rng(12)
 _FLIP, _ODD = (_rng.integers(0, 1 << 64, BANDS * BAND_HASHES, np.uint64) | np.uint64(x) for x in (0, 1))
@@ -186,19 +188,20 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, same, size, bands) of the rows with words; ``same`` is a hash of the set of shingles, ``size`` its size."""
+    """(row, doc_id, fp, same, size, bands) of the rows (row, doc_id, text) with words; ``same`` is a digest of the set of
+    shingles, ``size`` its size."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
+            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
                 hashes = np.unique(shingle_hashes(text, words))
                 if len(hashes):
-                    rows.append((doc, fingerprint(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), len(hashes), bands_of(hashes)))
-            kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "fp", "same", "size", "bands"])
+                    rows.append((row, doc, fingerprint(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), bands_of(hashes)))
+            kinds = (*[pa.int64()] * 3, pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["row", "doc_id", "fp", "same", "size", "bands"])
 
-    return docs.where("doc_id is not null").select("doc_id", text_of().alias("text")).mapInArrow(found, "doc_id long, fp long, same long, size long, bands array<long>")
+    return docs.mapInArrow(found, "row long, doc_id long, fp long, same binary, size long, bands array<long>")
 
 
 def central(values: np.ndarray) -> np.ndarray:
@@ -213,20 +216,24 @@ def _band_keys() -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("choice"), F.element_at("bands", i + 1).alias("bits")))
 
 
-def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
+def _candidates(owners: DataFrame, part_rows: int) -> DataFrame:
     """Pairs (a, b) of owners that share a band and lie within TEXT_RADIUS: all of a small shard; of a large one those that
-    link most of a group soon, each text with its nearest neighbour in the shard's BK-tree and with the central ones. The
-    other pairs of large shards are left to ``_rest``."""
-    dealt = sharded(owners.select("owner", "fp", "bands"), _band_keys(), shard_rows)
+    link most of a group soon, each text with its nearest neighbour in the shard's BK-tree and with the central ones. A
+    shard of more than ``part_rows`` is dealt into parts, each searched alone, and a few of its texts are in all parts, so
+    the work grows with the shard and not with its square. The other pairs of large shards are left to ``_rest``."""
+    dealt = owners.select("owner", "fp", F.explode(_band_keys()).alias("key"))
     # Most keys belong to one text; they are dropped before rows are shuffled and sorted by key.
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    dealt = dealt.join(shared, "key").select("owner", "fp", F.col("key.choice").alias("choice"), F.col("key.bits").alias("bits"), "part", "other")
-    order = ["choice", "bits", "part", "other"]
+    shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("owner").alias("first"), F.max("owner").alias("last")).where("members > 1")
+    dealt = dealt.join(shared, "key").withColumn("parts", F.ceil(F.col("members") / part_rows).cast("int"))
+    dealt = dealt.withColumn("anchor", (F.col("parts") > 1) & F.col("owner").isin(F.col("first"), F.col("last")))
+    own = F.pmod(F.xxhash64("owner"), F.col("parts")).cast("int")
+    dealt = dealt.select("owner", "fp", "key.choice", "key.bits", "anchor", F.explode(F.when(F.col("anchor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))).alias("part"))
+    order = ["choice", "bits", "part"]
     dealt = dealt.repartition(*order).sortWithinPartitions(*order, "fp", "owner")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, shard in whole_shards(batches, order, ["owner", "fp"]):
-            owner, values = columns["owner"], columns["fp"].view(np.uint64)
+        for columns, shard in whole_shards(batches, order, ["owner", "fp", "anchor"]):
+            owner, values, anchor = columns["owner"], columns["fp"].view(np.uint64), columns["anchor"]
             sizes = np.bincount(shard)[shard]
             few = np.flatnonzero((sizes <= ALL_PAIRS) & (sizes > 1))
             a, b = [], []
@@ -246,7 +253,8 @@ def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
             b.append(own[nearest])
             cuts = [*np.flatnonzero(np.diff(number, prepend=-1)).tolist(), len(many)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                for hub in (low + central(distinct[low:high])).tolist():
+                shared_by_all = low + np.flatnonzero(anchor[many[low:high]])
+                for hub in {*(low + central(distinct[low:high])).tolist(), *shared_by_all.tolist()}:
                     near = np.bitwise_count(distinct[low:high] ^ distinct[hub]) <= TEXT_RADIUS
                     a.append(own[low:high][near])
                     b.append(np.full(int(near.sum()), own[hub]))
@@ -258,15 +266,14 @@ def _candidates(owners: DataFrame, shard_rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(doc_id, hashes) of the documents in ``needed`` (doc_id): their sets of shingles."""
+    """(row, hashes) of the rows (row, text) in ``needed`` (row): their sets of shingles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(pa.int64()))], names=["row", "hashes"])
 
-    found = matching(docs.select("doc_id", text_of().alias("text")), needed).mapInArrow(sets, "doc_id long, hashes array<long>")
-    return stored(found.groupBy("doc_id").agg(F.min("hashes").alias("hashes")), "shingle-sets")
+    return stored(matching(docs.select("row", "text"), stored(needed, "needed")).mapInArrow(sets, "row long, hashes array<long>"), "shingle-sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -281,8 +288,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float)
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    held = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    held = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), words)
+    both = pairs.join(held.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
@@ -304,15 +311,41 @@ def _open_pairs(rows: pa.Table, similarity: float) -> Iterator[tuple[int, np.nda
             yield i, at
 
 
+def _in_open_parts(linked: DataFrame, part_rows: int, part_hashes: int) -> DataFrame:
+    """The rows of every large shard with several components, dealt into parts: (key, own, part, other, ...) for each pair of
+    parts that may hold texts of different components.
+
+    A component that fills a part has parts of its own, numbered after those of all other rows, and no pair of two of these
+    is formed. So a shard that is one large group and a few other texts costs those texts times the parts of the group,
+    and not the group's square."""
+    dealt = linked.withColumn("key", F.explode(_band_keys())).withColumn("shard", F.xxhash64("key"))
+    open_keys = dealt.groupBy("shard", "key").agg(F.count("*").alias("members"), F.min("root").alias("least"), F.max("root").alias("most")).where((F.col("members") > ALL_PAIRS) & (F.col("least") < F.col("most")))
+    # Few shards are open, so most rows are never shuffled.
+    dealt = stored(matching(dealt, stored(open_keys.select("shard").distinct(), "open-keys"), "shard"), "in-open-shards")
+    fills = lambda n, size: F.ceil(F.greatest(n / part_rows, size / part_hashes)).cast("long")
+    by_root = dealt.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("sizes")).withColumn("root_parts", fills(F.col("n"), F.col("sizes")))
+    large = F.col("root_parts") > 1
+    shards = by_root.groupBy("key").agg(F.sum(F.when(~large, F.col("n"))).alias("n"), F.sum(F.when(~large, F.col("sizes"))).alias("sizes"))
+    shards = shards.select("key", F.coalesce(fills(F.col("n"), F.col("sizes")), F.lit(0)).alias("small_parts"))
+    # Components with parts of their own: each has at least part_rows texts or part_hashes hashes, so there are few.
+    groups = by_root.where(large).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("root", "root_parts"))).alias("groups"))
+    shards = shards.join(groups, "key", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<struct<root:bigint,root_parts:bigint>>")))
+    rows = dealt.join(shards, "key")
+    at = F.array_position(F.transform("groups", lambda g: g["root"]), F.col("root")).cast("int")
+    before = F.aggregate(F.slice("groups", 1, F.greatest(at - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, g: s + g["root_parts"])
+    all_parts = F.aggregate("groups", F.col("small_parts"), lambda s, g: s + g["root_parts"])
+    rows = rows.withColumn("at", at).withColumn("start", F.when(F.col("at") > 0, F.col("small_parts") + before).otherwise(0)).withColumn("width", F.when(F.col("at") > 0, F.get("groups", F.col("at") - 1)["root_parts"]).otherwise(F.col("small_parts")))
+    rows = rows.withColumn("own", F.col("start") + F.pmod(F.xxhash64("owner"), F.col("width"))).withColumn("all_parts", all_parts)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all_parts") - 1), lambda p: (F.col("at") == 0) | (p < F.col("start")) | (p >= F.col("start") + F.col("width")))
+    pairs = F.transform(others, lambda p: F.struct(F.least("own", p).alias("part"), F.greatest("own", p).alias("other")))
+    return rows.withColumn("pair", F.explode(pairs)).select("owner", "fp", "size", "bands", "root", "own", "key.choice", "key.bits", "pair.part", "pair.other")
+
+
 def _rest(docs: DataFrame, linked: DataFrame, words: int, similarity: float, part_rows: int = PART_ROWS, part_hashes: int = PART_HASHES) -> DataFrame:
     """Edges (a, b) between components ``linked`` (owner, fp, size, bands, root) that one pair of similar texts at least joins,
     of all pairs in shards of more than ALL_PAIRS texts. A pair goes unverified only if verified links join its texts."""
     shard = ["choice", "bits", "part", "other"]
-    dealt = linked.withColumn("key", F.explode(_band_keys()))
-    parts = F.ceil(F.greatest(F.count("*") / part_rows, F.sum("size") / part_hashes)).cast("int")
-    large = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), parts.alias("parts"))
-    large = large.where((F.col("members") > ALL_PAIRS) & (F.col("low") < F.col("high"))).select("key", "parts")
-    dealt = in_pairs(dealt.join(large, "key"), F.xxhash64("owner")).select("owner", "fp", "size", "bands", "root", "own", "key.choice", "key.bits", "part", "other")
+    dealt = _in_open_parts(linked, part_rows, part_hashes)
 
     def kept(rows: pa.Table) -> pa.Table:
         needed = np.zeros(rows.num_rows, bool)
@@ -344,26 +377,46 @@ def _rest(docs: DataFrame, linked: DataFrame, words: int, similarity: float, par
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sets = _sets(docs, held.select(F.col("owner").alias("doc_id")).distinct(), words)
-    return held.join(sets, held["owner"] == sets["doc_id"]).drop("doc_id").groupBy(*shard).applyInArrow(joined, "a long, b long")
-
+    sets = _sets(docs, held.select(F.col("owner").alias("row")).distinct(), words)
+    return held.join(sets, held["owner"] == sets["row"]).drop("row").groupBy(*shard).applyInArrow(joined, "a long, b long")
 
-def similar_texts(docs: DataFrame, words: int = TEXT_WORDS, similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, component_id) of the documents with words: the smallest doc_id that links of similar texts reach.
 
-    Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Candidates share one
-    of BANDS min-hash keys, which texts at 0.8 fail to with a probability of 0.00004, and lie within TEXT_RADIUS bits by
-    SimHash, found by BK-trees; each candidate is verified by its whole sets. Texts with one set of shingles are one vertex.
-    In a large shard each text is verified against its nearest neighbour and the most central texts first, and then every
-    pair that these links leave in different components is. Rows without a doc_id or without words are left out."""
+def _similar_rows(docs: DataFrame, words: int, similarity: float, part_rows: int) -> DataFrame:
+    """(row, doc_id, component) of the rows (row, doc_id, text) with words; a component is named by one of its rows."""
     bounded_batches(docs.sparkSession)
     rows = stored(_sketches(docs, words), "sketches")
-    owners = stored(rows.groupBy("same").agg(F.min("doc_id").alias("owner")), "set-owners")
-    heads = stored(rows.join(owners.withColumnRenamed("owner", "doc_id"), ["same", "doc_id"]).groupBy(F.col("doc_id").alias("owner")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.max("size").alias("size")), "sketch-owners")
-    pairs = stored(_candidates(heads, shard_rows), "candidates")
+    owners = stored(rows.groupBy("same").agg(F.min("row").alias("owner")), "set-owners")
+    heads = stored(rows.join(owners.select(F.col("owner").alias("row")), "row").select(F.col("row").alias("owner"), "fp", "size", "bands"), "sketch-owners")
+    pairs = stored(_candidates(heads, part_rows), "candidates")
     roots = connected_components(_verified(docs, pairs, words, similarity))
     linked = stored(heads.join(roots, heads["owner"] == roots["node"], "left").select("owner", "fp", "size", "bands", F.coalesce("root", "owner").alias("root")), "linked-texts")
     # Roots are the smallest of their components, and so are those of the components joined.
     lower = connected_components(_rest(docs, linked, words, similarity)).withColumnRenamed("root", "lower")
-    lowest = linked.join(lower, linked["root"] == lower["node"], "left").select("owner", F.coalesce("lower", "root").alias("component_id"))
-    return rows.select("doc_id", "same").join(owners.join(lowest, "owner"), "same").select("doc_id", "component_id")
+    lowest = linked.join(lower, linked["root"] == lower["node"], "left").select("owner", F.coalesce("lower", "root").alias("component"))
+    return stored(rows.select("row", "doc_id", "same").join(owners.join(lowest, "owner"), "same").select("row", "doc_id", "component"), "similar")
+
+
+def similar_texts(docs: DataFrame, words: int = TEXT_WORDS, similarity: float = SIMILARITY, part_rows: int = STEP_PART) -> DataFrame:
+    """(doc_id, component_id) of every row with words: the smallest doc_id that links of similar texts reach; null if all that
+    it reaches are null. Rows without words are left out, and rows that repeat a doc_id are rows of their own.
+
+    Texts are linked if the Jaccard similarity of their sets of word shingles is ``similarity`` or more. Candidates share one
+    of BANDS min-hash keys, which texts at 0.8 fail to with a probability of 0.00004, and lie within TEXT_RADIUS bits by
+    SimHash, found by BK-trees, which sets of 10 shingles and more at 0.8 fail to with under 0.0003, and smaller ones with
+    0.0015; each candidate is verified by its whole sets. Texts with one set of shingles are one vertex.
+    In a large shard each text is verified against its nearest neighbour and the most central texts first, and then every
+    pair that these links leave in different components is."""
+    whole = keyed(docs.select("doc_id", text_of().alias("text")), "numbered")
+    rows = _similar_rows(whole.select("row", "whole.doc_id", "whole.text"), words, similarity, part_rows)
+    lowest = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(lowest, "component").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of similar texts, with all their columns: that with the smallest
+    doc_id (null is the largest), and of equal ones the first in the table. Rows without words stay."""
+    whole = keyed(docs, "numbered")
+    rows = _similar_rows(whole.select("row", "whole.doc_id", text_of("whole.text").alias("text")), TEXT_WORDS, SIMILARITY, STEP_PART)
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("best"))
+    gone = stored(rows.join(best, "component").where("row <> best").select("row"), "near-copies")
+    return without(whole, gone).select("whole.*")
