@@ -1,6 +1,8 @@
 """A corpus pipeline over ``documents``: language, quality, exact copies, near copies, packing.
 
-Each stage works on all that its predecessor kept and is written to the shared folder before the next one reads it."""
+Each stage works on all that its predecessor kept and is written to the shared folder before the next one reads it. Stages
+decide about rows, whatever their doc_id: rows that repeat a doc_id, or have none, are judged by their own text. Null texts
+are empty: language ID rejects them. Empty tables go through. Columns of documents are kept as they are."""
 
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vecspark.llm import exact_dedup, language_id, packing, rule_ensemble, simhash
-from vecspark.llm.common import shared_dir, table, without
+from vecspark.llm.common import shared_dir, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +26,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return without(docs, exact_dedup.exact_dedup(docs).where("not kept").select("doc_id"))
+    """One row of each group of equal texts: the longest, then that with the smallest doc_id (null first), then the first."""
+    return exact_dedup.drop_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of similar texts."""
-    return without(docs, simhash.similar_texts(docs).where("doc_id <> component_id").select("doc_id"))
+    """One row of each group of similar texts: that with the smallest doc_id (null last), then the first."""
+    return simhash.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
