@@ -99,3 +99,42 @@ def test_dot_product_packs_all_dimensions():
 def test_at_powers():
     out = list(at_powers([("a", 0, 5, 2), ("b", 3, 6, 0)]))
     assert [sum(x[2] for x in s) for s in out] == [8, 2, 1] and out[0] == [("a", 0, 5, 2), ("b", 3, 3, 0)]
+
+
+def best_fit(items, limits):
+    """Sequences that best fit decreasing needs: longest first, into the fullest sequence with room in all three ways."""
+    open_ = []
+    for _, _, tokens, quiet in sorted(items, key=lambda x: -x[2]):
+        need = (tokens, 1, tokens - quiet)
+        fits = [s for s in open_ if all(a + b <= c for a, b, c in zip(s, need, limits, strict=True))]
+        if fits:
+            best = max(fits, key=lambda s: s[0])
+            best[:] = [a + b for a, b in zip(best, need, strict=True)]
+        else:
+            open_.append(list(need))
+    return len(open_)
+
+
+@pytest.mark.parametrize("limits", [(1024, 6, 1024), (1024, 40, 300), (1024, 5, 250), (1024, 256, 1024)])
+def test_instruction_data_under_limits_that_bind(limits):
+    """Conversations, of which the turns of the assistant bear loss, against best fit decreasing."""
+    rng, items = random.Random(13), []
+    for i in range(1500):
+        turns = [(rng.randint(5, 60), rng.randint(2, 90)) for _ in range(rng.randint(1, 4))]
+        asked, answered = sum(a for a, _ in turns), min(sum(b for _, b in turns), limits[2])
+        items.append((i, 0, asked + answered, asked))
+    p = Packer(limits, cut=False)
+    for x in items:
+        p.add(*x)
+    out = [s for s, _ in p.sequences()]
+    assert sorted(x for s in out for x in s) == sorted(items)
+    assert all(sum(x[2] for x in s) <= limits[0] and len(s) <= limits[1] and sum(x[2] - x[3] for x in s) <= limits[2] for s in out)
+    assert len(out) <= 1.02 * best_fit(items, limits) + 1
+
+
+def test_no_loss_allowed(spark):
+    rows = [(i, "some words here") for i in range(5)]
+    df = spark.createDataFrame([(*r, 1000) for r in rows], "doc_id long, text string, prompt int")
+    check(rows, pack(df, PATH, max_loss=0, prompt="prompt").collect())
+    with pytest.raises(Exception, match="exceeds the limits"):
+        pack(df, PATH, max_loss=0).collect()

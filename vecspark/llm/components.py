@@ -2,7 +2,10 @@
 
 Each round is two joins on a vertex's smallest neighbour and is written to the shared folder; the number of rounds grows
 with the logarithm of the largest component. No vertex's neighbours are gathered in one row or task: minima are combined
-before the shuffle, and the join with them can be split where a vertex has very many neighbours."""
+before the shuffle, and the join with them can be split where a vertex has very many neighbours.
+
+Edges with a null end, or from a vertex to itself, say nothing and are left out; repeated edges count once; without edges
+there are no rows. Other columns are not looked at."""
 
 from __future__ import annotations
 

@@ -3,7 +3,10 @@
 A tokenizer that splits a text by a pattern before it merges gives each piece the same ids wherever it stands. So a text is
 split by the tokenizer's own pattern, the ids of pieces are remembered, and only new pieces go to its model. Below U+0130 the
 pattern's character classes are spelled out, which splits fast; a text with other characters is cut at white space, and
-each new unit of it is encoded by the library as a whole. So is a text that holds the string of a special token."""
+each new unit of it is encoded by the library as a whole. So is a text that holds the string of a special token.
+
+An empty text has no ids. Texts are never null here: callers pass empty ones. A text's length is not limited, and what is
+remembered is bounded by its number."""
 
 from __future__ import annotations
 
