@@ -96,3 +96,19 @@ def test_poor_labels(spark, tables):
     assert all(r.score > 0.9 for r in classify(docs, marks.where("quality = 1")).collect())
     assert classify(docs.limit(0), marks).collect() == []
     assert len(classify(docs, marks.limit(12)).collect()) == len(rows)
+
+
+def test_scores_equal_brute_force(tables):
+    """The whole query against a model that is fitted and applied on plain lists."""
+    docs, marks, labels, rows = tables
+    texts = {}
+    for doc, text in rows:
+        texts.setdefault(doc, []).append(text or "")
+    learned = sorted((d, y) for d, y in labels.items() if zlib.crc32(str(d).encode()) % 5)
+    model = train(np.array([min(statistics(t) for t in texts[d]) for d, _ in learned]), np.array([float(y) for _, y in learned]))
+    got = {}
+    for r in classify(docs, marks).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for doc, many in texts.items():
+        want = sorted(model.score(np.array([statistics(t) for t in many])).tolist())
+        assert np.allclose(sorted(r.score for r in got[doc]), want, atol=1e-9) and all(r.predicted == int(r.score >= 0.3) for r in got[doc])

@@ -8,7 +8,7 @@ Learning uses at most about SAMPLE_ROWS labelled rows, drawn by a hash of doc_id
 (that many at most), so no text is shuffled. Every document is scored over its whole text, in one pass.
 
 Nulls: a null text is an empty one; labels with a null doc_id or label are not learned from; a doc_id with several labels
-has the lowest. Repeated rows are scored one by one. Where the labels learned from are all alike, or missing, every score
+has the lowest, and one with several rows is learned from once, by the lowest statistics. Repeated rows are scored one by one. Where the labels learned from are all alike, or missing, every score
 is their mean, or 0.5. Empty texts have statistics of 0. Other columns are not looked at.
 """
 
@@ -188,16 +188,17 @@ def train(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
     return RuleEnsemble(float(w[0]), [Rule(r.bounds, float(v)) for r, v in zip(rules, w[1:], strict=True) if abs(v) > 1e-4])
 
 
-def with_statistics(docs: DataFrame, prefix: str = "stat_") -> DataFrame:
-    """All columns of ``docs``, and a column for each statistic of its text."""
+def with_statistics(docs: DataFrame, prefix: str = "stat_", without: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` but those in ``without``, and a column for each statistic of its text."""
     bounded_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in without]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = np.array([statistics(t) for t in texts(batch, "text")]).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(STATISTICS)))], names=[*batch.schema.names, *(prefix + s for s in STATISTICS)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(found[:, i]) for i in range(len(STATISTICS)))], names=[*kept, *(prefix + s for s in STATISTICS)])
 
-    return docs.mapInArrow(measured, StructType([*docs.schema.fields, *(StructField(prefix + s, DoubleType()) for s in STATISTICS)]))
+    return docs.mapInArrow(measured, StructType([*(docs.schema[c] for c in kept), *(StructField(prefix + s, DoubleType()) for s in STATISTICS)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
@@ -208,14 +209,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
         return train(np.zeros((0, len(STATISTICS))), np.zeros(0))
     drawn = known.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < min(1.0, sample_rows / total) * 1_000_000)
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), "doc_id")
-    found = with_statistics(rows).drop("text").orderBy("doc_id").toArrow()
+    lowest = F.min(F.struct(*[f"stat_{s}" for s in STATISTICS])).alias("lowest")
+    found = with_statistics(rows, without=("text",)).groupBy("doc_id", "label").agg(lowest).select("doc_id", "label", "lowest.*").orderBy("doc_id").toArrow()
     x = np.stack([found.column(f"stat_{s}").to_numpy() for s in STATISTICS], axis=1) if found.num_rows else np.zeros((0, len(STATISTICS)))
     return train(x, found.column("label").to_numpy())
 
 
 def score(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:
     """One row for each row of ``docs``: doc_id, score, predicted."""
-    rows = with_statistics(docs.select("doc_id", text_of().alias("text"))).drop("text")
+    rows = with_statistics(docs.select("doc_id", text_of().alias("text")), without=("text",))
     return rows.select("doc_id", ensemble.column("stat_").alias("score")).select("doc_id", "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
