@@ -1,6 +1,7 @@
 import random
 
-from vecspark.llm.html_template import extract, main_text, parse
+from vecspark.llm import html_template
+from vecspark.llm.html_template import block_tokens, class_checks, extract, frequent_tokens, in_page_order, main_text, page_tokens, parse
 
 
 def alone(source):
@@ -91,3 +92,88 @@ def test_copies_in_a_layout_of_their_own(spark):
     rows += [(100 + i, f"http://h.example.org/c{i}", "<body><article><h1>Copy</h1><div class=special><p>Text of the copies, as it is on all.</p></div></article></body>") for i in range(20)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[110] == "Copy Text of the copies, as it is on all." and got[7] == "T7 Text 7 of this page."
+
+
+def host_pages(seed):
+    """Pages of one small host: a random tree of boxes without telling names, some of them repeated, optional or swapped."""
+    rng = random.Random(seed)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}"
+    boxes = [f"b{chr(97 + k)}" for k in range(rng.randint(2, 6))]
+    pages = []
+    for _ in range(rng.randint(3, 7)):
+        order = list(boxes)
+        if rng.random() < 0.3:
+            rng.shuffle(order)
+        out = []
+        for box in order:
+            if rng.random() < 0.15:
+                continue
+            inner = "".join(f"<li class=x{box}><p class=y{box}>{word()}</p></li>" * rng.choice([1, 1, 2, 3]) if rng.random() < 0.7 else f"<p class=z{box}>always {box}</p>" for _ in range(rng.randint(1, 2)))
+            out.append(f"<div class={box}>{inner}</div>")
+        pages.append(f"<body><div class=top>Top of all</div>{''.join(out)}<div class=end>End</div></body>")
+    return pages
+
+
+def brute_classes(pages):
+    """Valid classes, as sets of tokens, by the definitions, with the library's tokens alone."""
+    parsed = [parse(p) for p in pages]
+    every = [{t: v[0] for part in (page_tokens(p), block_tokens(p)) for t, v in part.items()} for p in parsed]
+    vectors = {}
+    for t in set().union(*every):
+        vectors.setdefault(tuple(x.get(t, 0) for x in every), set()).add(t)
+    classes = [c for v, c in vectors.items() if len(c) > 1 and sum(map(bool, v)) >= 3]
+    valid = set(map(frozenset, classes))
+    orders = {}
+    for p in parsed:
+        tokens = in_page_order(p)
+        cycles = {}
+        for c in map(frozenset, classes):
+            at = [i for i, t in enumerate(tokens) if t in c]
+            if not at:
+                continue
+            groups = [at[k : k + len(c)] for k in range(0, len(at), len(c))]
+            if len({tuple(tokens[i] for i in g) for g in groups}) > 1 or {tokens[i] for i in groups[0]} != c:
+                valid.discard(c)
+                continue
+            orders.setdefault(c, set()).add(tuple(tokens[i] for i in groups[0]))
+            cycles[c] = groups
+        for a in cycles:
+            for b in cycles:
+                for x in cycles[a]:
+                    for y in cycles[b] if a != b else ():
+                        gap = lambda inner, outer: len({sum(o < i for o in outer) for i in inner}) == 1
+                        if not gap(y, x) and not gap(x, y):
+                            valid -= {a, b}
+    return {c for c in valid if len(orders[c]) == 1}
+
+
+def test_valid_classes_equal_brute_force(spark):
+    hosts = {f"h{k}.example.org": host_pages(k) for k in range(30)}
+    rows = [(f"http://{h}/{i}", p, h) for h, pages in hosts.items() for i, p in enumerate(pages)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string, host string")
+    frequent = frequent_tokens(df)
+    checks = class_checks(df, frequent)
+    found = {}
+    for r in frequent.join(checks.where("is_class and ok").selectExpr("host", "id AS vector"), ["host", "vector"]).collect():
+        found.setdefault((r.host, r.vector), set()).add(r.token)
+    want = {(h, c) for h, pages in hosts.items() for c in brute_classes(pages)}
+    assert {(h, frozenset(c)) for (h, _), c in found.items()} == want and len(want) > 30
+
+
+def test_constant_blocks_without_names(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(1000)}" for _ in range(n))
+    texts = [[words(30) for _ in range(rng.randint(1, 4))] for _ in range(40)]
+    page = lambda paras: "<body><div><div class=q><p>Sign our petition today</p>" + "".join(f"<p>{t}</p>" for t in paras) + "<h4>More below</h4></div></div></body>"
+    rows = [(i, f"http://plain.example.org/{i}", page(t)) for i, t in enumerate(texts)] + [(100 + i, f"http://copy.example.org/{i}", page(texts[0])) for i in range(10)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(t) for i, t in enumerate(texts))
+    one = main_text(spark.createDataFrame(rows[-1:], "page_id long, url string, html string")).first().text
+    assert all(got[100 + i] == one == " ".join(["Sign our petition today", *texts[0], "More below"]) for i in range(10))
+
+
+def test_many_hosts_are_joined_by_salted_keys(spark, monkeypatch):
+    monkeypatch.setattr(html_template, "BROADCAST_HOSTS", 1)
+    rows, want = make_pages()
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] for r in got)

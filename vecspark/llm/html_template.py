@@ -1,27 +1,34 @@
 """Main text of web pages, by deducing the template of each host from equivalence classes of tokens.
 
-A token is an element in its place: its tag and class names below those of its ancestors. Its occurrence vector says how
-often it occurs on each page of the host. Tokens with one vector form an equivalence class, and classes with several tokens
-that occur on enough pages make up the template; elements nest, and so do the classes. What stands between template tokens
-are slots, whose contents vary. The region of the main text is the template token that holds the article: one that says
-so, or else the innermost that holds most of the text. Slots outside the region are left out, and so are slots inside that
-are menus by their share of link text, that say the same on all pages, or whose element is named as a menu, footer,
-sidebar, notice, advert, form or comment. The rest is the main text.
+A token is an element in its place (its tag and class names below those of its ancestors) or a block of text in its element.
+Its occurrence vector says how often it occurs on each page of the host. Tokens with one vector form an equivalence class.
+Classes with several tokens that occur on enough pages are valid if they are ordered, that is their tokens come in one
+cycle on all pages, and nested, that is no cycle of one is torn by tokens of another. Valid classes make up the template, a
+tree in which a class stands in a gap between two tokens of the class around it. What is between template tokens are slots,
+whose contents vary. The region of the main text is the template token that holds the article: one that says so, or else
+the innermost that holds most of the text. Slots outside the region are left out, and so are slots inside that are menus by
+their share of link text, and elements and blocks that say the same while the region varies. Where slots vary, nothing but
+names tells an advert or a comment from the article, so elements named as a menu, footer, sidebar, notice, advert, form or
+comment are left out as well, unless they hold the article or most of the text. The rest is the main text.
 
 A vector is kept as the exclusive-or of a hash of (page, count) over all pages, so classes over any number of pages come
-from one aggregation with partial sums, and a host with a third of all pages costs no more than others. Template tokens
-are those on MIN_SHARE of a host's pages, hence a bounded number; they are broadcast only if there are few hosts.
+from one aggregation with partial sums, and a host with a third of all pages costs no more than others. Order and nesting
+are checked page by page against the classes, in a second pass, whose findings are combined in the same way. Template
+tokens are those on MIN_SHARE of a host's pages, hence a bounded number; hosts' classes are broadcast if there are few
+hosts, and are else joined to pages that are salted, as one host may have very many.
 
 Nulls: a null html is empty and gives an empty text; a null url is a host of its own, and so are all urls without a host.
 Hosts with too few pages for a template, and pages without the host's region, are judged by the same rules on the page
 alone. Broken markup: unclosed elements end with their parents, an unfinished tag or comment reaches to the end of the
-page. Repeated pages are extracted one by one. Columns other than page_id, url and html are not looked at.
+page. Copies of a page have one text of the region, so they don't make it constant; each is extracted as it would be alone in
+the host's layout. Columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,8 +45,15 @@ MIN_PAGES, MIN_SHARE = 3, 0.05
 REGION_SHARE = 0.6
 #: Slots with more link text than this are menus.
 LINK_SHARE = 0.6
-#: Slots with fewer texts than this share of the region's texts on the same pages, and these so many at least, are constant.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.02, 8
+#: What says the same on this many pages at least, with so many different texts of the region (of 64 buckets of their hashes),
+#: is constant; a block of text also has to be on this share of the pages with its element.
+CONSTANT_PAGES, CONSTANT_TEXTS, CONSTANT_SHARE = 8, 6, 0.9
+#: An element on this many pages may say two things and be constant.
+MANY_PAGES = 100
+#: In place of a block's element, for tokens of elements.
+NO_ELEMENT = -1
+#: Parts that each host's pages are dealt into where hosts' classes are not broadcast.
+SALTS = 32
 #: An element with more than this share of the text is not judged by its names, nor is it a constant slot of the region.
 MOST = 0.5
 #: Hosts whose templates are broadcast at most; a template has a few dozen numbers.
@@ -82,8 +96,8 @@ class Node:
 @dataclass
 class Page:
     nodes: list[Node]
-    #: (node, text) in page order, text with its white space made single spaces.
-    blocks: list[tuple[int, str]]
+    #: (node, text, how many nodes start before it) in page order, text with its white space made single spaces.
+    blocks: list[tuple[int, str, int]]
 
 
 def parse(source: str) -> Page:
@@ -98,7 +112,7 @@ def parse(source: str) -> Page:
         nonlocal linked
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
-            blocks.append((stack[-1], text))
+            blocks.append((stack[-1], text, len(nodes)))
             shares.append(min(linked, len(text)))
         pieces.clear()
         linked = 0
@@ -172,7 +186,7 @@ def parse(source: str) -> Page:
             stack.pop()
     flush()
     judge_names(nodes, blocks)
-    for (i, text), share in zip(blocks, shares, strict=True):
+    for (i, text, _), share in zip(blocks, shares, strict=True):
         while i >= 0 and not nodes[i].boiler:
             nodes[i].mass += len(text)
             nodes[i].links += share
@@ -181,7 +195,7 @@ def parse(source: str) -> Page:
     return Page(nodes, blocks)
 
 
-def judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
+def judge_names(nodes: list[Node], blocks: list[tuple[int, str, int]]) -> None:
     """Makes elements with boilerplate names, and all below them, boilerplate, unless they hold the article or most of the
     text that is left without them."""
     if not any(n.named for n in nodes):
@@ -190,7 +204,7 @@ def judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
     for k, n in enumerate(nodes[1:], 1):
         under[k] = bool(n.named) or under[n.parent]
     clean = 0
-    for i, text in blocks:
+    for i, text, _ in blocks:
         if nodes[i].boiler:
             continue
         clean += 0 if under[i] else len(text)
@@ -214,13 +228,13 @@ def judge_names(nodes: list[Node], blocks: list[tuple[int, str]]) -> None:
 
 
 def page_tokens(page: Page) -> dict[int, tuple]:
-    """token: (count, text, link text, hash of the text, depth, main, whether it holds elements), without what is named
-    as not main text."""
+    """Elements' tokens, without what is named as not main text: (count, text, link text, hash of the text, depth, main, whether
+    it holds elements, NO_ELEMENT)."""
     out: dict[int, list] = {}
     for n in page.nodes:
         if n.boiler:
             continue
-        row = out.setdefault(n.token, [0, 0, 0, 0, n.depth, n.main, n.name in CONTAINER or n.name == "body"])
+        row = out.setdefault(n.token, [0, 0, 0, 0, n.depth, n.main, n.name in CONTAINER or n.name == "body", NO_ELEMENT])
         row[0] += 1
         row[1] += n.mass
         row[2] += n.links
@@ -229,15 +243,77 @@ def page_tokens(page: Page) -> dict[int, tuple]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def block_token(element: int, text: str) -> int:
+    return xxhash.xxh64_intdigest(text, element) >> 1
+
+
+def block_tokens(page: Page) -> dict[int, tuple]:
+    """Tokens of blocks of text: (count, text, 0, 0, 0, 0, False, token of the element)."""
+    out: dict[int, list] = {}
+    for i, text, _ in page.blocks:
+        n = page.nodes[i]
+        if not n.boiler:
+            row = out.setdefault(block_token(n.token, text), [0, 0, 0, 0, 0, 0, False, n.token])
+            row[0] += 1
+            row[1] += len(text)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def in_page_order(page: Page) -> list[int]:
+    """All tokens of the page as they start, elements and blocks."""
+    out, blocks = [], iter([*page.blocks, (0, "", len(page.nodes) + 1)])
+    i, text, at = next(blocks)
+    for k, n in enumerate(page.nodes):
+        while at <= k:
+            if not page.nodes[i].boiler:
+                out.append(block_token(page.nodes[i].token, text))
+            i, text, at = next(blocks)
+        if not n.boiler:
+            out.append(n.token)
+    while at == len(page.nodes):
+        if not page.nodes[i].boiler:
+            out.append(block_token(page.nodes[i].token, text))
+        i, text, at = next(blocks)
+    return out
+
+
+def checked_classes(tokens: list[int], class_of: dict[int, int], sizes: dict[int, int]) -> dict[int, tuple[bool, int]]:
+    """For each class with a token on the page: whether it is ordered and nested there, and a hash of its cycle. It is ordered if
+    its tokens come in one cycle, and nested if no cycle of it overlaps one of another ordered class: of two cycles one lies
+    in a gap of the other."""
+    own: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in class_of:
+            own.setdefault(class_of[t], []).append(t)
+    fine = {c: len(set(x[: sizes[c]])) == sizes[c] and x == x[: sizes[c]] * (len(x) // sizes[c]) for c, x in own.items()}
+    open_: list[list[int]] = []  # class and tokens of its cycle so far
+    for t in tokens:
+        c = class_of.get(t)
+        if c is None or not fine.get(c, False) and all(entry[0] != c for entry in open_):
+            continue
+        if t == own[c][0]:
+            open_.append([c, 1])
+            continue
+        at = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == c)
+        if at < len(open_) - 1:
+            # What opened inside the cycle's gap is still open as the gap ends.
+            fine[c] = False
+            fine |= dict.fromkeys((entry[0] for entry in open_[at + 1 :]), False)
+        open_[at][1] += 1
+        if open_[at][1] == sizes[c]:
+            del open_[at]
+    return {c: (ok, xxhash.xxh64_intdigest(repr(own[c][: sizes[c]])) >> 1) for c, ok in fine.items()}
+
+
 def own_template(page: Page) -> tuple[set[int], set[int]]:
     """Region and left-out tokens by the page alone."""
     total, found = page.nodes[0].mass, page_tokens(page)
     best, region = (-1, -1, -1), set()
-    for token, (_, mass, _, _, depth, main, holds) in found.items():
+    for token, (_, mass, _, _, depth, main, holds, _) in found.items():
         key = (main, mass, depth) if main and mass else (0, depth, mass) if holds and mass >= REGION_SHARE * total and mass else None
         if key and key > best:
             best, region = key, {token}
-    menus = {t for t, (_, mass, links, _, _, _, holds) in found.items() if holds and mass and links > LINK_SHARE * mass and t not in region}
+    menus = {t for t, (_, mass, links, _, _, _, holds, _) in found.items() if holds and mass and links > LINK_SHARE * mass and t not in region}
     return region, menus
 
 
@@ -250,69 +326,116 @@ def extract(page: Page, region: set[int], left_out: set[int]) -> str:
     for n in page.nodes:
         inside, out = state[n.parent] if n.parent >= 0 else (not region, False)
         state.append((inside or n.token in region, n.boiler or out or n.token in left_out))
-    return " ".join(text for i, text in page.blocks if state[i][0] and not state[i][1])
+    return " ".join(text for i, text, _ in page.blocks if state[i][0] and not state[i][1] and not (left_out and block_token(page.nodes[i].token, text) in left_out))
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-TOKEN = "host string, token long, page long, n long, mass long, links long, body long, depth int, main int, holds boolean"
+TOKEN = "host string, token long, page long, n long, mass long, links long, body long, depth int, main int, holds boolean, element long"
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, region, left_out): the tokens of each host that hold the main text, and those that are left out of it."""
+def joined_by_host(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The pages (host, html, ...) with the columns of ``hosts``, null without: broadcast if there are few hosts, else joined over
+    salted pages, so that a host with very many of them is not one key."""
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        return pages.join(F.broadcast(hosts), "host", "left")
+    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+
+
+def frequent_tokens(pages: DataFrame) -> DataFrame:
+    """(host, token, pages, vector, ...) of the tokens of each host that are on enough of its pages, and whose class has several
+    tokens: one token alone carries no structure."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.bool_()]
+        kinds = [pa.string(), *[pa.int64()] * 6, pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
         for batch in small_batches(batches, "html"):
-            rows = [(host, token, page, *found) for host, page, source in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), texts(batch, "html"), strict=True)
-                    for token, found in page_tokens(parse(source)).items()]
+            rows = []
+            for host, number, source in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), texts(batch, "html"), strict=True):
+                page = parse(source)
+                rows += [(host, token, number, *found) for each in (page_tokens(page), block_tokens(page)) for token, found in each.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in TOKEN.split(", ")])
 
     seen = pages.select("host", "html", F.xxhash64("page_id", "url", "html").alias("page")).mapInArrow(tokens, TOKEN)
+    # Bodies of an element are told apart by 64 buckets of their hashes.
     tallied = stored(seen.groupBy("host", "token").agg(
         F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.sum("links").alias("links"),
-        F.approx_count_distinct("body", 0.02).alias("bodies"), F.max("depth").alias("depth"), F.max("main").alias("main"), F.max("holds").alias("holds")), "page-tokens")
+        F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("body", F.lit(64)).cast("int")))).alias("bodies"), F.max("depth").alias("depth"), F.max("main").alias("main"), F.max("holds").alias("holds"), F.max("element").alias("element"))
+        .where((F.col("pages") >= MIN_PAGES) | (F.col("token") == 0)), "page-tokens")
     hosts = tallied.where("token = 0").select("host", F.col("pages").alias("of"), F.col("mass").alias("total"))
     frequent = tallied.join(hosts, "host").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("of")))
-    # Classes of one token carry no structure.
-    classes = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("tokens")).where("tokens > 1").drop("tokens")
-    valid = frequent.join(classes, ["host", "vector", "pages"])
-    named = (F.col("main") > 0) & (F.col("mass") > 0)
-    holding = F.col("holds") & (F.col("mass") >= REGION_SHARE * F.col("total")) & (F.col("mass") > 0)
-    key = F.when(named, F.struct(F.col("main").cast("long").alias("a"), F.col("mass").alias("b"), F.col("depth").cast("long").alias("c"), "token")).when(holding, F.struct(F.lit(0).cast("long").alias("a"), F.col("depth").cast("long").alias("b"), F.col("mass").alias("c"), "token"))
-    menu = F.col("holds") & (F.col("mass") > 0) & (F.col("links") > LINK_SHARE * F.col("mass"))
-    maybe = F.col("holds") & (F.col("main") == 0) & (F.col("mass") > 0) & (F.col("n") == F.col("pages")) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("bodies") <= 1 + CONSTANT_SHARE * F.col("pages"))
-    found = valid.groupBy("host").agg(F.max(key)["token"].alias("region"), F.collect_list(F.when(menu, F.col("token"))).alias("menus"),
-                                      F.collect_list(F.when(maybe & ~menu, F.struct("token", "bodies"))).alias("maybe"))
-    found = stored(found.withColumn("menus", F.filter("menus", lambda x: ~x.eqNullSafe(F.col("region")))).withColumn("maybe", F.filter("maybe", lambda x: ~x["token"].eqNullSafe(F.col("region")))), "regions")
-    constant = constants(pages, found.where((F.size("maybe") > 0) & F.col("region").isNotNull()))
-    return found.join(constant, "host", "left").select(
-        "host", F.when(F.col("region").isNotNull(), F.array("region")).otherwise(F.array().cast("array<bigint>")).alias("region"),
-        F.concat("menus", F.coalesce("constant", F.array().cast("array<bigint>"))).alias("left_out"))
+    return stored(frequent, "frequent-tokens")
 
 
-def constants(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(host, constant): of the tokens ``maybe`` (token, bodies) of each host in ``found`` (host, region, maybe) those that say
-    the same while the region around them varies. Copies of a page have one region text, and count as one."""
+FOUND = "host string, id long, is_class boolean, ok boolean, cycle long, mass long, total long, around long"
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def class_checks(pages: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(host, id, is_class, ok, constant): of each class whether it is ordered and nested on all pages, and of each token that may
+    be constant whether it is, that is whether the region around it varies."""
+    several = frequent.groupBy("host", "vector", "pages").agg(F.count("*").alias("size")).where("size > 1")
+    classed = frequent.join(several, ["host", "vector", "pages"])
+    best = classed.groupBy("host").agg(F.max(_region_key())["token"].alias("region"))
+    classes = classed.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("classes"))
+    parents = frequent.where(F.col("element") == NO_ELEMENT).select("host", F.col("token").alias("element"), F.col("pages").alias("element_pages"))
+    once = (F.col("n") == F.col("pages")) & (F.col("pages") >= CONSTANT_PAGES) & (F.col("mass") > 0) & (F.col("main") == 0) & (F.col("token") != 0)
+    elements = frequent.where((F.col("element") == NO_ELEMENT) & once & (F.col("bodies") <= F.when(F.col("pages") >= MANY_PAGES, 2).otherwise(1))).select("host", "token")
+    blocks = frequent.where((F.col("element") != NO_ELEMENT) & once).join(parents, ["host", "element"]).where(F.col("pages") >= CONSTANT_SHARE * F.col("element_pages")).select("host", "token")
+    maybe = elements.union(blocks).groupBy("host").agg(F.collect_list("token").alias("maybe"))
+    known = stored(classes.join(best, "host", "left").join(maybe, "host", "left"), "host-classes")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
         for batch in small_batches(batches, "html"):
             rows = []
-            for host, region, maybe, source in zip(batch.column("host").to_pylist(), batch.column("region").to_pylist(), batch.column("maybe").to_pylist(), texts(batch, "html"), strict=True):
-                own = page_tokens(parse(source))
-                if region in own:
-                    rows += [(host, x["token"], x["bodies"], own[x["token"]][1], own[region][1], own[region][3]) for x in maybe if x["token"] in own]
-            names = ["host", "token", "bodies", "mass", "total", "around"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(6)], names=names)
+            columns = [batch.column(c) for c in ("tokens", "classes", "maybe", "region")]
+            for k, (host, source) in enumerate(zip(batch.column("host").to_pylist(), texts(batch, "html"), strict=True)):
+                if not columns[0][k].is_valid:
+                    continue
+                if host not in held:
+                    held = held if len(held) < 1000 else {}
+                    class_of = dict(zip(columns[0][k].as_py(), columns[1][k].as_py(), strict=True))
+                    held[host] = class_of, Counter(class_of.values()), set(columns[2][k].as_py() or ()), columns[3][k].as_py()
+                class_of, sizes, maybe, region = held[host]
+                page = parse(source)
+                rows += [(host, c, True, ok, cycle, 0, 0, 0) for c, (ok, cycle) in checked_classes(in_page_order(page), class_of, sizes).items()]
+                own = page_tokens(page)
+                if maybe and region in own:
+                    around = 1 << own[region][3] % 64
+                    own |= block_tokens(page)
+                    rows += [(host, t, False, True, 0, own[t][1], own[region][1], around - (1 << 64) if around >> 63 else around) for t in maybe & own.keys()]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+    seen = joined_by_host(pages.select("host", "html"), known).mapInArrow(found, FOUND)
+    held = seen.groupBy("host", "id", "is_class").agg(F.bool_and("ok").alias("ok"), F.min("cycle").alias("least"), F.max("cycle").alias("most"), F.sum("mass").alias("mass"), F.sum("total").alias("total"), F.bit_count(F.bit_or("around")).alias("around"))
+    constant = ~F.col("is_class") & (F.col("around") >= CONSTANT_TEXTS) & (F.col("mass") <= MOST * F.col("total"))
+    return stored(held.select("host", "id", "is_class", (F.col("ok") & (F.col("least") == F.col("most"))).alias("ok"), constant.alias("constant")), "class-checks")
+
+
+def _region_key() -> Column:
+    """Orders the tokens that may be the region; null for others. One that says so, with the most text; else the innermost that
+    holds most of the text."""
+    named = (F.col("main") > 0) & (F.col("mass") > 0)
+    holding = F.col("holds") & (F.col("mass") >= REGION_SHARE * F.col("total")) & (F.col("mass") > 0)
+    return (F.when(named, F.struct(F.col("main").cast("long").alias("a"), F.col("mass").alias("b"), F.col("depth").cast("long").alias("c"), "token"))
+            .when(holding, F.struct(F.lit(0).cast("long").alias("a"), F.col("depth").cast("long").alias("b"), F.col("mass").alias("c"), "token")))
+
 
-    few = found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    own = F.broadcast(found) if few else found
-    seen = pages.select("host", "html").join(own.select("host", "region", "maybe"), "host").mapInArrow(tokens, "host string, token long, bodies long, mass long, total long, around long")
-    held = seen.groupBy("host", "token").agg(F.max("bodies").alias("bodies"), F.sum("mass").alias("mass"), F.sum("total").alias("total"), F.approx_count_distinct("around", 0.02).alias("around"))
-    same = (F.col("around") >= CONSTANT_PAGES) & (F.col("bodies") <= 1 + CONSTANT_SHARE * F.col("around")) & (F.col("mass") <= MOST * F.col("total"))
-    return held.where(same).groupBy("host").agg(F.collect_list("token").alias("constant"))
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, region, left_out): the tokens of each host that hold the main text, and those that are left out of it."""
+    frequent = frequent_tokens(pages)
+    checks = class_checks(pages, frequent)
+    valid = frequent.join(checks.where("is_class and ok").select("host", F.col("id").alias("vector")), ["host", "vector"])
+    menu = F.col("holds") & (F.col("mass") > 0) & (F.col("links") > LINK_SHARE * F.col("mass"))
+    found = valid.groupBy("host").agg(F.max(_region_key())["token"].alias("region"), F.collect_list(F.when(menu, F.col("token"))).alias("menus"))
+    constant = checks.where("constant").groupBy("host").agg(F.collect_list("id").alias("constant"))
+    none = F.array().cast("array<bigint>")
+    left_out = F.filter(F.concat(F.coalesce("menus", none), F.coalesce("constant", none)), lambda x: ~x.eqNullSafe(F.col("region")))
+    both = found.join(constant, "host", "full").withColumn("left_out", left_out)
+    return both.select("host", F.when(F.col("region").isNotNull(), F.array("region")).otherwise(none).alias("region"), "left_out")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -320,7 +443,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     deduced = stored(templates(pages), "templates")
-    few = deduced.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "html"):
@@ -328,5 +450,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                      for source, region, out in zip(texts(batch, "html"), batch.column("region").to_pylist(), batch.column("left_out").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.join(F.broadcast(deduced) if few else deduced, "host", "left").select("page_id", "url", "html", "region", "left_out")
+    joined = joined_by_host(pages, deduced).select("page_id", "url", "html", "region", "left_out")
     return joined.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
