@@ -118,6 +118,40 @@ def collection_small_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.points().select("id", "ord", F.lit(len(again.manifest["segments"]) < 4).alias("few_segments"), F.lit(again.last_lsn).alias("last_lsn"))
 
 
+def collection_auto_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four commits, each of which takes a snapshot by itself; two snapshots and what they need are kept, and LSNs go on after
+    reopening."""
+    root = shared_root(spark, "auto")
+    durability = DurabilityConfig(snapshot_every=10, keep_snapshots=2, index_every=0)
+    c = CollectionManager(spark, root, durability).create(CollectionConfig.flat("points", DIM))
+    for i in range(4):
+        c.upsert(_batch(spark, sf_dir, f"vec_id % 4 = {i}"))
+    c = CollectionManager(spark, root, durability).get("points")
+    before = c.last_lsn
+    names = c.files.names("points")
+    c.upsert([("one more", [1.0] * DIM, None)])
+    kept = sum(n.startswith("snapshot-") for n in names)
+    return c.points().select("id", "ord", F.lit(kept).alias("snapshots"), F.lit(sum(n.startswith("log-") for n in names) <= kept).alias("log_pruned"), F.lit(c.last_lsn - before).cast("long").alias("lsns"))
+
+
+def collection_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers and writers of one collection see of each other's work."""
+    root = shared_root(spark, "visible")
+    _, c = _filled(spark, sf_dir, root=root)
+    reader, old = CollectionManager(spark, root).get("points"), CollectionManager(spark, root, KEEP).get("points")
+    pinned = reader.points()
+    c.delete_frame(_batch(spark, sf_dir, "vec_id % 10 = 3").select("id"))
+    rows = [("a reader that was open before the delete", pinned.count()), ("that reader, asked again", reader.points().count()), ("the writer", c.points().count())]
+    rows.append(("a reader that opens now", CollectionManager(spark, root, KEEP).get("points").points().count()))
+    try:
+        old.upsert([("stale", [1.0] * DIM, None)])
+    except FileExistsError:
+        rows.append(("a writer on the old version fails, and leaves", CollectionManager(spark, root, KEEP).get("points").points().count()))
+    c.snapshot()
+    rows.append(("the open reader after a snapshot", reader.points().count()))
+    return spark.createDataFrame(rows, "who string, live long")
+
+
 def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A collection for each type of event, of the users with such events; one is dropped, and the rest listed after reopening."""
     root, events = shared_root(spark, "list"), _read(spark, sf_dir, "events")
@@ -275,7 +309,8 @@ def engine_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k of 0": lambda: c.search(good, 0), "k over 10000": lambda: c.search(good, 10_001), "ef over 10000": lambda: c.search(good, 1, SearchParams(ef=10_001)), "a short query": lambda: c.search(good[:5], 1),
         "a zero query under COSINE": lambda: c.search([0.0] * DIM, 1), "an infinite component": lambda: c.upsert([("new", [float("inf")] * DIM, None)]), "an empty id": lambda: c.upsert([("new", good, None), ("", good, None)]),
         "metadata with null": lambda: c.upsert([("new", good, {"a": None})]), "a filter without a field": lambda: filters.parse({"eq": 1}), "a filter with two operators": lambda: filters.parse({"field": "a", "eq": 1, "in": [1]}), "an empty in": lambda: filters.parse({"field": "a", "in": []}),
-        "a range of strings": lambda: filters.parse({"field": "a", "range": {"gt": "b"}}), "nothing wrong": lambda: c.get("new")}
+        "a range of strings": lambda: filters.parse({"field": "a", "range": {"gt": "b"}}),
+        "vectors of two lengths": lambda: spark.range(1).select(V.distance("L2", V.literal([1.0, 2.0]), V.literal([1.0])).alias("x")).collect(), "nothing wrong": lambda: c.get("new")}
     rows = []
     for name, call in calls.items():
         try:
@@ -309,7 +344,7 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (collection_upsert, collection_get, collection_delete, collection_stats, collection_compaction, collection_remap, collection_recover, collection_small_commits, list_collections, snapshot_plus_log, stream_changes,
+    named = (collection_upsert, collection_get, collection_delete, collection_stats, collection_compaction, collection_remap, collection_recover, collection_small_commits, collection_auto_snapshots, collection_visibility, list_collections, snapshot_plus_log, stream_changes,
              collection_search, collection_search_many, scan_of_few, knn_fewer_than_k, hnsw_recall_floors, hnsw_filter_floors, hnsw_graph_rules, collection_index_life, engine_errors, filter_evaluator, metadata_json)
     return {f.__name__: f for f in named}
 
@@ -333,6 +368,10 @@ def oracle_sql(l2: Callable[[str, str], str], docs: str, sql_filters: dict[str,
     out["collection_remap"] = f"{_AFTER} SELECT ord, row_number() OVER (ORDER BY ord) - 1 AS new_ord FROM state WHERE {live}"
     out["collection_recover"] = f"{_AFTER} SELECT {columns} FROM state WHERE {live}"
     out["collection_small_commits"] = "SELECT 'p' || vec_id AS id, row_number() OVER (ORDER BY vec_id % 8, vec_id) - 1 AS ord, true AS few_segments, 1 + count(*) OVER () AS last_lsn FROM embeddings"
+    out["collection_auto_snapshots"] = ("SELECT id, row_number() OVER (ORDER BY part, vec_id) - 1 AS ord, 2::int AS snapshots, true AS log_pruned, 1::bigint AS lsns FROM (SELECT 'p' || vec_id AS id, vec_id % 4 AS part, vec_id FROM embeddings UNION ALL SELECT 'one more', 4, 0)")
+    all_, left = "(SELECT count(*) FROM embeddings)", "(SELECT count(*) FROM embeddings WHERE vec_id % 10 <> 3)"
+    out["collection_visibility"] = (f"SELECT * FROM (VALUES ('a reader that was open before the delete', {all_}), ('that reader, asked again', {all_}), ('the writer', {left}), ('a reader that opens now', {left}), "
+                                    f"('a writer on the old version fails, and leaves', {left}), ('the open reader after a snapshot', {all_})) t(who, live)")
     out["list_collections"] = "SELECT event_type AS name, count(DISTINCT user_id) AS live, count(*) - count(DISTINCT user_id) AS tombstones FROM events WHERE event_type <> 'error' GROUP BY 1"
     users = "SELECT user_id::varchar AS id, value::float AS value, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"
     out["snapshot_plus_log"] = out["stream_changes"] = users
@@ -351,7 +390,7 @@ def oracle_sql(l2: Callable[[str, str], str], docs: str, sql_filters: dict[str,
     out["hnsw_filter_floors"] = "SELECT share::int AS share, true AS reached, true AS only_eligible FROM (VALUES (5), (10), (30), (60)) t(share)"
     out["hnsw_graph_rules"] = "SELECT rule, true AS holds FROM (VALUES ('at most so many neighbours'), ('no node is its own neighbour'), ('no neighbour twice'), ('layers up to the level'), ('all points on layer 0'), ('built again it is the same')) t(rule)"
     out["collection_index_life"] = "SELECT step, 'UNFILTERED' AS strategy, graphs::int AS graphs, all_indexed, true AS reached FROM (VALUES ('first', 1, true), ('grown', 2, true), ('deleted', 2, false), ('compacted', 1, true)) t(step, graphs, all_indexed)"
-    wrong = {"create a name again": "CollectionExistsError", "get what is not there": "CollectionNotFoundError", "drop what is not there": "CollectionNotFoundError", "nothing wrong": "none"}
+    wrong = {"create a name again": "CollectionExistsError", "get what is not there": "CollectionNotFoundError", "drop what is not there": "CollectionNotFoundError", "nothing wrong": "none", "vectors of two lengths": "SparkRuntimeException"}
     bad = ["a name with a blank", "no components", "an unknown metric", "m of 1", "k of 0", "k over 10000", "ef over 10000", "a short query", "a zero query under COSINE", "an infinite component", "an empty id", "metadata with null", "a filter without a field", "a filter with two operators", "an empty in", "a range of strings"]
     out["engine_errors"] = "SELECT attempt, error FROM (VALUES " + ", ".join(f"('{a}', '{e}')" for a, e in (wrong | dict.fromkeys(bad, "ValueError")).items()) + ") t(attempt, error)"
     out["filter_evaluator"] = f"WITH {docs} SELECT doc_id, coalesce({sql_filters['filter_nested']}, false) AS nested, coalesce({sql_filters['filter_in_mixed']}, false) AS strict FROM docs"
