@@ -9,7 +9,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecspark.llm.fertility import PieceTokenizer, base_counts, fertility_rules, script_of
+from vecspark.llm.fertility import LEAST_SPREAD, PRIOR, PieceTokenizer, base_counts, fertility_rules, script_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 OURS, LIBRARY = PieceTokenizer(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -82,3 +82,40 @@ def test_junk_in_small_groups(spark):
     got = {r.doc_id: r for r in fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
     assert not any(got[i].kept for i in (1000, 1001, 1002, 1003))
     assert got[1004].kept and got[1005].kept and sum(got[i].kept for i in range(200)) >= 190
+
+
+def test_verdicts_equal_brute_force(spark):
+    """The bands and verdicts by their definitions, on plain lists."""
+    rng = random.Random(11)
+    words = ["water", "people", "little", "sound", "great", "where", "through", "sentence", "before", "right", "picture", "again", "house", "animal"]
+    rows = []
+    for i in range(260):
+        lang = rng.choice(["en", "en", "en", "xx", None])
+        own = rng.choice([words, words, words, ["qxz", "zkvj", "xqq", "jjkz"], ["привет", "мир", "слово", "хлеб", "дом"]])
+        rows.append((i, " ".join(rng.choice(own) + rng.choice(["", "", ".", "7"]) for _ in range(rng.choice([10, 40, 90, 200]))), lang))
+    got = {r.doc_id: r for r in fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    middle = lambda xs: sorted(xs)[-(-len(xs) // 2) - 1]
+    keys = {i: (got[i].script, lang, int(log2(got[i].n_tokens + 1))) for i, _, lang in rows}
+    base = {i for i in keys if not got[i].base_failed}
+    bands = {}
+    for figure, least in LEAST_SPREAD.items():
+        value = {i: getattr(got[i], figure) for i in keys}
+        for kind in (0, 1, 2, 3):
+            groups = {}
+            for i in base:
+                groups.setdefault(keys[i][:kind], []).append(value[i])
+            for key, xs in groups.items():
+                mid = middle(xs)
+                own = mid, max(least, 1.4826 * middle([abs(x - mid) for x in xs]))
+                wide = bands.get((figure, key[:-1])) if kind else own
+                bands[figure, key] = tuple((len(xs) * a + PRIOR * b) / (len(xs) + PRIOR) for a, b in zip(own, wide, strict=True))
+    kept = 0
+    for i in keys:
+        if got[i].base_failed:
+            assert not got[i].kept
+            continue
+        off = {f: (getattr(got[i], f) - bands[f, keys[i]][0]) / bands[f, keys[i]][1] for f in LEAST_SPREAD}
+        want = (min(off["chars_per_token"], 0) ** 2 + min(off["entropy"], 0) ** 2) ** 0.5 <= 3.5 and max(off.values()) <= 8
+        assert got[i].kept == want, (i, off)
+        kept += want
+    assert 20 < kept < len(base)

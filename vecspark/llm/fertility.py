@@ -5,13 +5,14 @@ three figures: characters per token, the share of tokens that fall back to bytes
 usual differs by language, script and length, so each group of these has bands of its own about the medians over all its
 documents, in median deviations from them. Junk has few characters per token and few different tokens at once, while clean
 text with numbers or names is low in the first alone, so the lower band holds for the two together: the root of the sum of
-their squared shortfalls. The upper bands hold for each figure. A document outside a band of its group is rejected. Groups
-with fewer than LEAST_GROUP documents use the bands of all lengths of their language and script, else of the script, else of
-all documents, which are fitted alike.
+their squared shortfalls. The upper bands hold for each figure. A document outside a band of its group is rejected. A
+group's middle and spread are drawn toward those of its language and script at all lengths, these toward the script's, and
+these toward all documents', as if PRIOR documents of the wider group were in it: small groups lean on wider ones, and no
+size switches to another rule.
 
 Base rules come first: a text fails with fewer than 20 words, or if over 30 % of its words lie in windows of eight words
-that occur twice or more in it. Medians come from mergeable sketches over all rows; what is broadcast is one row for each
-group, and only if there are few.
+that occur twice or more in it; such texts don't shape the bands. Medians come from mergeable sketches over all rows, of all
+kinds of group at once; what is broadcast is one row for each group, and only if there are few.
 
 Nulls: a null text is an empty one, without words, and fails. A null language is a group of its own in each script.
 Repeated rows are judged one by one. An empty table gives an empty result. Columns other than doc_id, text and lang are
@@ -36,9 +37,10 @@ from vecspark.llm.common import ASCII_SPACE, bounded_batches, small_batches, sto
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: Median deviations (times 1.4826, which makes them standard deviations) that the shortfall may have, and each excess.
 LOW_BAND, HIGH_BAND = 3.5, 8.0
-LEAST_GROUP = 50
-#: Groups with bands, the finest that has LEAST_GROUP documents counts; the last, of all documents, has any number of them.
-LEVELS = (("lang", "script", "size"), ("lang", "script"), ("script",), ("all",))
+#: Documents of the wider group that count in a group.
+PRIOR = 20
+#: Columns that tell groups apart, and how many of them each kind of group has, from the finest to all documents.
+GROUP, KINDS = {"script": "string", "lang": "string", "size": "int"}, (3, 2, 1, 0)
 #: Spread of each figure at least: characters per token, byte share, entropy.
 LEAST_SPREAD = {"chars_per_token": 0.08, "byte_share": 0.005, "entropy": 0.12}
 FIGURES = tuple(LEAST_SPREAD)
@@ -160,15 +162,24 @@ def measured(docs: DataFrame, model_path: str) -> DataFrame:
     return docs.select("doc_id", lang.alias("lang"), text_of().alias("text")).mapInArrow(rows, STATS)
 
 
-def bands(stats: DataFrame, group: tuple[str, ...], least: int = LEAST_GROUP) -> DataFrame:
-    """Per large enough group (such as lang, script, size: doublings of the number of tokens) the middle and spread of each
-    figure."""
-    stats = stats.select(*group, *FIGURES)
-    middle = stats.groupBy(*[F.col(c).alias(f"of_{c}") for c in group]).agg(F.count("*").alias("members"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIGURES])
-    off = stats.join(F.broadcast(middle) if few(middle) else middle, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in group])
-    spread = off.groupBy(*group).agg(F.first("members").alias("members"), *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
-                                  *[F.greatest(F.lit(LEAST_SPREAD[c]), 1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000)).alias(f"{c}_spread") for c in FIGURES])
-    return spread.where(F.col("members") >= least).select(*[F.col(c).alias(f"of_{c}") for c in group], *[f"{c}_{x}" for c in FIGURES for x in ("mid", "spread")])
+def bands(stats: DataFrame) -> DataFrame:
+    """Per group (script, lang, size: doublings of the number of tokens) the middle and spread of each figure, drawn toward those
+    of wider groups."""
+    key = [F.struct(F.lit(kind).alias("kind"), *[(F.col(c) if i < kind else F.lit(None).cast(t)).alias(c) for i, (c, t) in enumerate(GROUP.items())]) for kind in KINDS]
+    rows = stats.select(*FIGURES, F.explode(F.array(*key)).alias("key")).select(*FIGURES, "key.*")
+    names = ["kind", *GROUP]
+    middle = stored(rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in names]).agg(F.count("*").alias("members"), *[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in FIGURES]), "middles")
+    off = rows.join(F.broadcast(middle) if few(middle) else middle, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in names])
+    found = stored(off.groupBy(*names).agg(F.first("members").alias("members"), *[F.first(f"{c}_mid").alias(f"{c}_mid") for c in FIGURES],
+                                           *[F.greatest(F.lit(LEAST_SPREAD[c]), 1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000)).alias(f"{c}_spread") for c in FIGURES]), "spreads")
+    values = [f"{c}_{x}" for c in FIGURES for x in ("mid", "spread")]
+    drawn = found.where("kind = 0").select(*names, *values)
+    for kind in KINDS[-2::-1]:
+        wider = drawn.where(F.col("kind") == kind - 1).select(*[F.col(c).alias(f"of_{c}") for c in GROUP], *[F.col(v).alias(f"of_{v}") for v in values])
+        own = found.where(F.col("kind") == kind)
+        own = own.join(F.broadcast(wider) if few(wider) else wider, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in list(GROUP)[: kind - 1]] or F.lit(True))
+        drawn = own.select(*names, *[((F.col("members") * F.col(v) + PRIOR * F.col(f"of_{v}")) / (F.col("members") + PRIOR)).alias(v) for v in values])
+    return stored(drawn.drop("kind"), "bands")
 
 
 def few(groups: DataFrame) -> bool:
@@ -181,13 +192,9 @@ def fertility_rules(docs: DataFrame, model_path: str) -> DataFrame:
     stats = stored(measured(docs, model_path).withColumn("size", size), "fertility")
     # Texts that fail the base rules don't shape the bands.
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    joined = stats = stats.withColumn("all", F.lit(0))
-    for i, group in enumerate(LEVELS):
-        found = stored(bands(stats.where(~failed), group, 1 if group == LEVELS[-1] else LEAST_GROUP), "bands")
-        found = found.select(*[F.col(f"of_{c}").alias(f"of_{c}_{i}") for c in group], F.struct(*[f"{c}_{x}" for c in FIGURES for x in ("mid", "spread")]).alias(f"bands_{i}"))
-        joined = joined.join(F.broadcast(found) if few(found) else found, [F.col(c).eqNullSafe(F.col(f"of_{c}_{i}")) for c in group], "left")
-    joined = joined.withColumn("own", F.coalesce(*[f"bands_{i}" for i in range(len(LEVELS))]))
-    off = {c: (F.col(c) - F.col(f"own.{c}_mid")) / F.col(f"own.{c}_spread") for c in FIGURES}
+    found = bands(stats.where(~failed)).withColumnsRenamed({c: f"of_{c}" for c in GROUP})
+    joined = stats.join(F.broadcast(found) if few(found) else found, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in GROUP], "left")
+    off = {c: (F.col(c) - F.col(f"{c}_mid")) / F.col(f"{c}_spread") for c in FIGURES}
     short = [F.pow(F.least(off[c], F.lit(0.0)), 2) for c in ("chars_per_token", "entropy")]
     reason = F.when(failed, "base").when(F.sqrt(short[0] + short[1]) > LOW_BAND, "low fertility")
     for c in FIGURES:
