@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from vecspark.llm.language_id import DISCOUNT, HashTable, KneserNey, grams, identify, keep_identified, signs
+from vecspark.llm.language_id import DISCOUNT, HashTable, KneserNey, counted_grams, grams, identify, keep_identified, signs
 
 SOUNDS = {"aa": ["ba", "da", "lo", "mi", "ru"], "bb": ["sch", "ein", "ung", "ver", "ich"], "cc": ["при", "вет", "мир", "ста", "но"]}
 
@@ -60,6 +60,18 @@ def brute(counts, alphabet):
     return p
 
 
+def all_orders(grams_of, most=None):
+    """All orders from counted 4-grams, or the most frequent of each."""
+    out = []
+    keys, counts = grams_of
+    for n in (4, 3, 2, 1):
+        _, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+        kept = np.lexsort((keys, -counts))[:most]
+        out.insert(0, (keys[kept], counts[kept].astype(float), np.bincount(at, counts)[at][kept]))
+        keys, counts = np.unique(keys & np.uint64((1 << 16 * (n - 1)) - 1), return_counts=True)
+    return out
+
+
 def test_models_by_definition():
     texts = {"aa": ["bada lo", "dalo miru ba"], "bb": ["sch ein ung", "badu ver"]}
     counted, plain = [], []
@@ -67,7 +79,7 @@ def test_models_by_definition():
         every = np.concatenate([grams(signs(t)) for t in texts[lang]])
         counted.append(np.unique(every, return_counts=True))
         plain.append(Counter("".join(map(chr, signs(t)[i : i + 4])) for t in texts[lang] for i in range(len(signs(t)) - 3)))
-    model = KneserNey(list(texts), counted)
+    model = KneserNey(list(texts), [all_orders(c) for c in counted])
     alphabet = len({g[-1] for c in plain for g in c})
     ps = [brute(c, alphabet) for c in plain]
     probes = ["bada lo", "schlo eq", "zzz"]
@@ -112,3 +124,26 @@ def test_nothing_to_learn(spark):
     got = identify(frame(spark, [(1, "text", None), (2, None, "aa")])).collect()
     assert all(r.lang_pred == "und" and r.rejected for r in got)
     assert keep_identified(frame(spark, [(1, "text", None)])).collect() == []
+
+
+def test_counts_of_all_orders(spark):
+    rows = [(lang, text) for _, text, lang in make(60)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for most in (10**6, 50):
+        for lang, orders in counted_grams(df, most):
+            want = all_orders(np.unique(np.concatenate([grams(signs(t)) for x, t in rows if x == lang]), return_counts=True), most)
+            for got, expected in zip(orders, want, strict=True):
+                assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in expected)))
+
+
+def test_cut_models_still_sum_to_one():
+    every = np.unique(np.concatenate([grams(signs(sentence(random.Random(2), "aa", 200)))]), return_counts=True)
+    model = KneserNey(["aa"], [all_orders(every, 12)])
+    alphabet = [chr(c) for c in range(97, 123)] + [" "]
+    seen = {int(k) for k in all_orders(every, 12)[0][0]}
+    for context in ("bad", "xyz", "  b"):
+        p = sum(math.exp(model._look(np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context + s))], np.uint64), 4)[0, 0]) for s in alphabet)
+        unknown = math.exp(model._look(np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(context + "q"))], np.uint64), 4)[0, 0])
+        known = sum(ord(s) in seen for s in alphabet)
+        # Signs that were never seen have one share together.
+        assert abs(p - (len(alphabet) - known - 1) * unknown - 1) < 1e-5

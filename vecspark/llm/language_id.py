@@ -11,9 +11,11 @@ The prediction is the language with the lowest cross-entropy per character. ``re
 explains the text badly: its cross-entropy is over the language's mean by more than REJECT_AT standard deviations, as
 calibrated on documents that the model has not counted, with regard to the text's length; or that the text has no letter.
 
-Fitting uses at most about SAMPLE_DOCS documents of each language (drawn by a hash of doc_id over all of them) and keeps at
-most MAX_GRAMS 4-grams of each, the most frequent, so the model's size does not grow with the input. Every document is
-scored, over its whole text.
+Fitting uses at most about SAMPLE_DOCS documents of each language (drawn by a hash of doc_id over all of them). All orders are
+counted over the whole sample. Of each order and language the most frequent n-grams are kept, at most MAX_GRAMS and fewer
+where there are so many languages that the tables would have over MODEL_CELLS numbers; what the others had goes to shorter
+contexts, so probabilities still sum to one, and the model's size does not grow with the input. Every document is scored,
+over its whole text.
 
 Nulls: a null text, or one without a letter, gets ``und``, score 0 and rejected. A null doc_id is never learned from and
 counts as held out. Rows with a null language aren't learned from. Without any row to learn from every prediction is
@@ -32,13 +34,14 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import bounded_batches, small_batches, stored, text_of, texts
 
 SAMPLE_DOCS = 3_000
-MAX_GRAMS = 60_000
+MAX_GRAMS, MODEL_CELLS = 200_000, 1 << 26
 ORDER = 4
 DISCOUNT = 0.75
 #: Of ten sampled documents one calibrates the rejection.
 CALIBRATE = 10
 REJECT_AT = 8.0
-#: Characters that count as independent evidence at most, for the score.
+#: Characters that count as independent evidence at most: successive 4-grams share signs, so a long text's score would else be
+#: 0 or 1. It scales the score alone, not the prediction.
 EVIDENCE = 40
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,41 +109,38 @@ class HashTable:
         return at
 
 
+#: n-grams, how often each was seen (below the highest order: as the end of how many different longer ones), and the sum of
+#: that over all n-grams with its context.
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class KneserNey:
     """Models of several languages over the same tables: ``tables[n]`` has the log probabilities of n-grams, ``weights[n]``
     the log weight that a context of n signs gives to shorter contexts."""
 
-    def __init__(self, languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, languages: list[str], counted: list[list[Counted]]):
+        """``counted`` has for each language the n-grams of each order from 1 on, their counts, and those of their contexts."""
         self.languages, n_lang = languages, len(languages)
         mask = lambda n: np.uint64((1 << 16 * n) - 1)
-        per_order: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
-        for keys, counts in counted:
-            kept = np.argsort(-counts, kind="stable")[:MAX_GRAMS]
-            keys, counts = keys[kept], counts[kept].astype(np.float64)
-            for n in range(ORDER, 0, -1):
-                order = np.argsort(keys)
-                keys, counts = keys[order], counts[order]
-                per_order[n].append((keys, counts))
-                shorter, types = np.unique(keys & mask(n - 1), return_counts=True) if n > 1 else (keys[:0], counts[:0])
-                keys, counts = shorter, types.astype(np.float64)
-        signs_seen = max(1, len(np.unique(np.concatenate([k for k, _ in per_order[1]]))))
+        signs_seen = max(1, len(np.unique(np.concatenate([orders[0][0] for orders in counted]))))
         self.floor = float(-np.log(signs_seen + 1))
         self.tables, self.weights = [None] * (ORDER + 1), [None] * ORDER
         lower = lambda keys: np.full((len(keys), n_lang), self.floor)
         for n in range(1, ORDER + 1):
-            every = np.unique(np.concatenate([k for k, _ in per_order[n]]))
+            every = np.unique(np.concatenate([orders[n - 1][0] for orders in counted]))
             contexts = np.unique(every >> np.uint64(16))
             weight, value = np.zeros((len(contexts), n_lang)), np.empty((len(every), n_lang))
             shorter = lower(every & mask(n - 1))
             at = np.searchsorted(contexts, every >> np.uint64(16))
-            for lang, (keys, counts) in enumerate(per_order[n]):
+            for lang, orders in enumerate(counted):
+                keys, counts, totals = orders[n - 1]
                 owner = np.searchsorted(contexts, keys >> np.uint64(16))
-                total, types = np.bincount(owner, counts, len(contexts)), np.bincount(owner, minlength=len(contexts))
-                seen = total > 0
-                weight[seen, lang] = np.log(DISCOUNT * types[seen] / total[seen])
+                share = (counts - DISCOUNT) / totals
+                given = np.bincount(owner, share, len(contexts))
+                seen = given > 0
+                weight[seen, lang] = np.log(1 - given[seen])
                 p = np.exp(weight[at, lang] + shorter[:, lang])
-                own = np.searchsorted(every, keys)
-                p[own] += (counts - DISCOUNT) / total[owner]
+                p[np.searchsorted(every, keys)] += share
                 value[:, lang] = np.log(p)
             self.tables[n], self.weights[n - 1] = HashTable(every, value), HashTable(contexts, weight)
             lower = lambda keys, n=n: self._look(keys, n)
@@ -187,8 +187,8 @@ def _in_training(fold: Column) -> Column:
     return F.coalesce(fold != 1, F.lit(False))
 
 
-def counted_grams(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """(language, 4-grams, counts) over the sampled rows (lang, text)."""
+def counted_grams(sample: DataFrame, max_grams: int = MAX_GRAMS) -> list[tuple[str, list[Counted]]]:
+    """(language, n-grams of each order) over the sampled rows (lang, text), at most ``max_grams`` an order."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -200,10 +200,18 @@ def counted_grams(sample: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
     rows = sample.mapInArrow(partial, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # Only the most frequent of each language come to the driver.
-    found = rows.select("lang", "gram", "n", F.expr("row_number() over (partition by lang order by n desc, gram)").alias("at")).where(F.col("at") <= MAX_GRAMS).drop("at").toArrow()
-    langs, keys, counts = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
-    return [(lang, keys[langs == lang], counts[langs == lang]) for lang in sorted(set(langs.tolist()))]
+    found: dict[str, list[Counted]] = {}
+    for order in range(ORDER, 0, -1):
+        rows = stored(rows, "grams")
+        # Only the most frequent of each language come to the driver.
+        own = rows.withColumn("total", F.expr("sum(n) over (partition by lang, shiftrightunsigned(gram, 16))")).withColumn("at", F.expr("row_number() over (partition by lang order by n desc, gram)"))
+        top = own.where(F.col("at") <= max_grams).select("lang", "gram", "n", "total").toArrow()
+        langs, columns = np.array(top.column("lang").to_pylist(), object), [top.column(c).to_numpy().astype(np.int64) for c in ("gram", "n", "total")]
+        for lang in set(langs.tolist()):
+            gram, n, total = (c[langs == lang] for c in columns)
+            found.setdefault(lang, []).insert(0, (gram.view(np.uint64), n.astype(np.float64), total.astype(np.float64)))
+        rows = rows.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n"))
+    return sorted(found.items())
 
 
 class LanguageId:
@@ -230,7 +238,7 @@ class LanguageId:
         return langs, np.where(none, 0.0, np.round(score, 6)), rejected
 
 
-def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageId | None:
+def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, max_grams: int = MAX_GRAMS) -> LanguageId | None:
     """Learns from rows (doc_id, text, lang); None if there are none."""
     spark = rows.sparkSession
     rows = rows.where("lang is not null and text is not null").select("doc_id", "lang", "text")
@@ -240,10 +248,11 @@ def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageId | None:
         return None
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     sample = stored(rows.where(at < share * 1_000_000).select("lang", "text", (F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(CALIBRATE)) == 0).alias("calibrates")), "language-sample")
-    counted = counted_grams(sample.where("not calibrates")) or counted_grams(sample)
+    most = min(max_grams, MODEL_CELLS // len(shares) ** 2 + 1)
+    counted = counted_grams(sample.where("not calibrates"), most) or counted_grams(sample, most)
     if not counted:
         return None
-    model = KneserNey([c[0] for c in counted], [c[1:] for c in counted])
+    model = KneserNey([c[0] for c in counted], [c[1] for c in counted])
     shared = spark.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
