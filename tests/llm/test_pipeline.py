@@ -1,3 +1,5 @@
+import os
+import pathlib
 import random
 import re
 import zlib
@@ -119,3 +121,10 @@ def test_run_equals_brute_force(spark, sf_dir):
             assert p.start == at and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes()) and p.doc_tokens == len(ids)
             at += p.length
         assert at == len(ids)
+
+
+def test_a_stage_leaves_only_its_result(spark, sf_dir):
+    root = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(os.listdir(root))
+    corpus_pipeline.run(spark, sf_dir)
+    assert {n.rpartition("-")[0] for n in set(os.listdir(root)) - before} == {f"stage-{name}" for name, _ in corpus_pipeline.STAGES}

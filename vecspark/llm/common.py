@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,10 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 4_000_000
 
 
+#: Paths that were handed out and not deleted since.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``, which the driver and all executors share.
 
@@ -27,7 +32,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="vecspark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -44,12 +50,23 @@ def keyed(docs: DataFrame, name: str, **more: Column) -> DataFrame:
     """(row, whole, ...): the rows written once with a number each, so that later steps name a row whatever its doc_id;
     ``whole`` holds all their columns, and ``more`` are computed from these."""
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.monotonically_increasing_id().alias("row"), *[c.alias(k) for k, c in more.items()])
-    return stored(numbered, name)
+    return stored(numbered, name, compression="zstd")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is written to the shared folder within, once it has ended without an error."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _written.remove(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches to Python are cut by bytes, not by rows alone, so that long texts don't add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

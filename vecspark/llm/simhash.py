@@ -173,7 +173,7 @@ ALL_PAIRS, HUBS = 24, 3
 #: Texts of a part of a larger shard in the first step, where parts are searched one by one.
 STEP_PART = 1024
 #: Texts, and hashes of shingles, of one part of a larger shard in the second; two parts are in memory together.
-PART_ROWS, PART_HASHES = 1024, 1 << 20
+PART_ROWS, PART_HASHES = 1024, 1 << 19
 _rng = np.random.default_rng(12)
 _FLIP, _ODD = (_rng.integers(0, 1 << 64, BANDS * BAND_HASHES, np.uint64) | np.uint64(x) for x in (0, 1))
 
