@@ -43,7 +43,7 @@ def test_repeated_ids_keep_the_last(spark, root):
     assert c.delete("a", "b", "a") == [True, True, False] and c.stats()["live"] == 0 and c.search([0], 3).hits == []
 
 
-@pytest.mark.parametrize(("point", "message"), [(("x", [1.0], None), "dim 1, expected 2"), (("x", [1, float("nan")], None), "not finite"), (("", [1, 2], None), "id must be"), (("y" * 257, [1, 2], None), "id must be"), (("x", [0, 0], None), "zero"), (("x", [1, 2], {"a": None}), "metadata")])
+@pytest.mark.parametrize(("point", "message"), [(("x", [1.0], None), "dim 1, expected 2"), (("x", [1, float("nan")], None), "not finite"), (("", [1, 2], None), "an id needs"), (("y" * 257, [1, 2], None), "an id needs"), (("x", [0, 0], None), "zero"), (("x", [1, 2], {"a": None}), "metadata")])
 def test_batches_are_all_or_nothing(spark, root, point, message):
     c = CollectionManager(spark, root).create(CollectionConfig.flat("strict", 2, "COSINE"))
     with pytest.raises(ValueError, match=message):

@@ -25,9 +25,9 @@ def normalized(value, field: str):
         except OverflowError:
             number = math.inf
         if not math.isfinite(number):
-            raise ValueError(f"metadata '{field}' must be a finite number: {value}")
+            raise ValueError(f"the number in metadata '{field}' is not finite: {value}")
         return number + 0.0
-    raise ValueError(f"metadata '{field}' must be a string, number or boolean: {value!r}")
+    raise ValueError(f"metadata '{field}' holds strings, numbers and booleans, not {value!r}")
 
 
 def split(metadata: dict | None) -> tuple[dict, dict, dict]:
@@ -35,7 +35,7 @@ def split(metadata: dict | None) -> tuple[dict, dict, dict]:
     out = ({}, {}, {})
     for field, value in (metadata or {}).items():
         if not isinstance(field, str) or not 1 <= len(field) <= MAX_FIELD:
-            raise ValueError(f"metadata field names must be 1-{MAX_FIELD} chars: {field!r}")
+            raise ValueError(f"a metadata field's name needs 1 to {MAX_FIELD} characters: {field!r}")
         value = normalized(value, field)
         out[0 if isinstance(value, str) else 2 if isinstance(value, bool) else 1][field] = value
     return out

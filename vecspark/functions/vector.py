@@ -61,7 +61,7 @@ def invalid(metric: str, dim: int, point_id: Column, v: Column) -> Column:
     # Ids are limited in UTF-16 units; a code point beyond the basic plane has two.
     units = F.length(point_id) + F.length(F.regexp_replace(point_id, "[\\x{0}-\\x{FFFF}]", ""))
     return (
-        F.when(point_id.isNull() | (F.length(point_id) == 0) | (units > MAX_ID), F.concat(F.lit(f"id must be 1-{MAX_ID} chars: "), name))
+        F.when(point_id.isNull() | (F.length(point_id) == 0) | (units > MAX_ID), F.concat(F.lit(f"an id needs 1 to {MAX_ID} characters: "), name))
         .when(v.isNull() | (F.size(v) != dim), F.concat(F.lit("vector of "), name, F.lit(" has dim "), F.coalesce(F.size(v), F.lit(0)).cast("string"), F.lit(f", expected {dim}")))
         .when(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.concat(F.lit("vector of "), name, F.lit(" has a component that is not finite")))
         .when(F.lit(metric == "COSINE") & F.forall(v, lambda x: x == 0), F.concat(F.lit("vector of "), name, F.lit(" is zero, which COSINE cannot use")))

@@ -16,8 +16,9 @@ from vecspark.config import HnswParams
 from vecspark.functions import vector as V
 
 BUILD_BLOCK = 1024
-#: Candidates that a search holds on layers above 0.
-UPPER_EF = 16
+#: Candidates that a search holds on layers above 0. SIMPLE graphs have few links between groups of points, so more ways down
+#: are needed for one to end in the right group.
+UPPER_EF = {"HEURISTIC": 16, "SIMPLE": 128}
 
 
 def draw_levels(ords: np.ndarray, params: HnswParams) -> np.ndarray:
@@ -141,7 +142,7 @@ class HnswGraph:
         seen[[n for _, n in entries]] = True
         waiting = list(entries)
         heapq.heapify(waiting)
-        found = [(-d, -n) for d, n in entries if eligible is None or eligible[n]]
+        found = [(-d, -n) for d, n in heapq.nsmallest(ef, [x for x in entries if eligible is None or eligible[x[1]]])]
         heapq.heapify(found)
         links = self.links[layer]
         while waiting:
@@ -175,7 +176,7 @@ class HnswGraph:
         near = [(float(self._near(q, np.array([self.entry]))[0]), self.entry)]
         # A few ways down instead of one: distant groups have few links between them, and one way may end in the wrong group.
         for layer in range(len(self.links) - 1, 0, -1):
-            near = self._best_first(q, near, UPPER_EF, layer)
+            near = self._best_first(q, near, UPPER_EF[self.params.selection], layer)
         nodes = np.array([n for _, n in self._best_first(q, near, ef, 0, eligible)], np.int64)
         score = V.distances(self.metric, self.vectors[nodes], q)
         order = np.lexsort((self.ords[nodes], score))[:k]

@@ -21,7 +21,7 @@ class Plan:
 def plan_counts(matches: int, live: int, k: int, ef: int, default_ef: int, config: FilterConfig = FilterConfig()) -> Plan:
     """UNFILTERED is decided by the caller; here a filter is given."""
     if k < 1:
-        raise ValueError(f"k must be >= 1: {k}")
+        raise ValueError(f"k is {k}, but at least 1 is needed")
     if not matches:
         return Plan("NO_MATCH", 0.0, 0)
     share = matches / live

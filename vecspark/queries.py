@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
     out["compaction_remap"] = f"WITH {_EVENTS}, n AS (SELECT row_number() OVER (ORDER BY lsn) - 1 AS ord, rn = 1 AS live FROM ranked WHERE NOT gone) SELECT ord, CASE WHEN live THEN row_number() OVER (PARTITION BY live ORDER BY ord) - 1 ELSE -1 END AS new_ord FROM n"
     out["last_of_batch"] = "SELECT user_id AS id, max(event_id) AS pos, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
     out["validate_vectors"] = """SELECT vec_id, CASE vec_id % 10 WHEN 1 THEN 'vector of ' || vec_id || ' has dim 63, expected 64' WHEN 2 THEN 'vector of ' || vec_id || ' has a component that is not finite'
-        WHEN 3 THEN 'vector of ' || vec_id || ' has a component that is not finite' WHEN 4 THEN 'vector of ' || vec_id || ' is zero, which COSINE cannot use' WHEN 5 THEN 'id must be 1-256 chars: ' END AS why FROM embeddings"""
+        WHEN 3 THEN 'vector of ' || vec_id || ' has a component that is not finite' WHEN 4 THEN 'vector of ' || vec_id || ' is zero, which COSINE cannot use' WHEN 5 THEN 'an id needs 1 to 256 characters: ' END AS why FROM embeddings"""
     out["set_operations"] = f"WITH {_DOCS} SELECT DISTINCT doc_id FROM docs WHERE (({_SQL_FILTERS['filter_or']}) OR ({_SQL_FILTERS['filter_and']})) AND NOT coalesce({_SQL_FILTERS['filter_range']}, false)"
     out["recall_of_exact"] = "SELECT 1.0::double AS recall"
     return out
