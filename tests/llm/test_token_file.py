@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from vecspark.llm.common import shared_dir
-from vecspark.llm.token_file import Segment, find_token, read_tokens, write_tokens
+from vecspark.llm.token_file import Segment, find_token, range_part, read_tokens, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,3 +57,25 @@ def test_empty_and_repeated(spark):
     write_tokens(spark.createDataFrame([(1, "a b")] * 5, "doc_id long, text string"), path, PATH)
     got = read_tokens(spark, path).collect()
     assert sorted(r.start for r in got) == [0, 3, 6, 9, 12] and len({r.ids_crc32 for r in got}) == 1
+
+
+def test_parts_ascend_and_hot_ids_are_dealt_over_them(spark):
+    rng = np.random.default_rng(3)
+    ids = [None] * 300 + [7] * 500 + rng.integers(-(10**12), 10**12, 700).tolist()
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for parts in (1, 2, 16, 90):
+        got = [(r.doc_id, r.part) for r in df.select("doc_id", range_part(df, parts).alias("part")).collect()]
+        order = sorted(got, key=lambda r: (r[1], r[0] is not None, r[0] or 0))
+        assert [d for d, _ in order] == sorted((d for d, _ in got), key=lambda d: (d is not None, d or 0))
+        sizes = np.bincount([p for _, p in got])
+        assert sizes.max() <= 3 * len(ids) / parts + 5 and len(sizes) <= parts * 1.3 + 2
+
+
+def test_one_doc_id_on_many_rows(spark):
+    rows = [(5, f"word {i}") for i in range(400)] + [(i, "other words") for i in range(10)]
+    path = shared_dir(spark, "t")
+    write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, PATH, segment_tokens=50)
+    got = sorted(map(tuple, read_tokens(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(d for d, _ in rows) and len(got) == len(rows)
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]

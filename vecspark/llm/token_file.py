@@ -8,11 +8,13 @@ chunk, and no block is decoded. A run of tokens is also a run on each level, whi
 A file is a Parquet folder, so that any store Spark writes to will do and a task's output counts only once it is
 committed. Its rows are segments in ascending doc_id order; a segment is one binary value, described at ``Segment``, with
 about SEGMENT_TOKENS tokens of whole documents (a longer document has its own). Rows also tell how many tokens of the
-same part come before, so that a few counts, one for each part, give every document's place in the stream.
+same part come before, so that a few counts, one for each part, give every document's place in the stream. Parts are
+ranges of doc_id whose bounds come from a scan of that column alone, so texts are read and shuffled once; a doc_id that fills
+several parts is dealt over them.
 
-Nulls: a null text is an empty one and has the end id only; a null doc_id comes first. Documents with equal doc_id, which
-may be split over several parts, come in the order in which the table has them. The strings of special tokens in a text are
-those tokens, as the library has it. An empty table gives an empty file. Columns other than doc_id and text are not looked at.
+Nulls: a null text is an empty one and has the end id only; a null doc_id comes first. Documents with equal doc_id come in
+any order. The strings of special tokens in a text are those tokens, as the library has it. An empty table gives an empty
+file. Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import bounded_batches, small_batches, text_of, texts
 
 SEGMENT_TOKENS = 1 << 20
 BLOCK = 512
+#: Parts for each partition of a shuffle: a few, so that partitions, which get parts by a hash, are about equal.
+PARTS = 4
 MAGIC = b"DACS"
 _HEAD = struct.Struct("<4sIQI")
 ROW = "part int, segment int, tokens_before long, first_doc long, last_doc long, n_docs int, n_tokens long, payload binary"
@@ -121,17 +125,37 @@ class Segment:
             start = end
 
 
+def range_part(docs: DataFrame, parts: int) -> Column:
+    """The number of each row's part, ascending with doc_id, nulls first, with about equally many rows a part."""
+    found = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("bounds")).first()
+    nulls = max(1, round(parts * (found.n - found.known) / max(1, found.n)))
+    bounds = found.bounds or []
+    # Two steps of about the square root of the number of parts each.
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[0]]
+    literal = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    doc, salt = F.col("doc_id"), F.xxhash64(F.monotonically_increasing_id())
+    below = lambda values: F.size(F.filter(values, lambda b: b < doc))
+    # Groups whose last bound is below the row's doc_id are below it as a whole.
+    whole = below(literal([g[-1] for g in groups]))
+    inside = F.coalesce(below(F.get(F.array(*map(literal, groups)), whole)), F.lit(0))
+    # A doc_id that fills parts has as many equal bounds; its rows are dealt over these parts.
+    hot = {b: bounds.count(b) for b in set(bounds)} if len(set(bounds)) < len(bounds) else {}
+    equal = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x).cast("bigint") for pair in hot.items() if pair[1] > 1 for x in pair]), lambda k, _: k == doc)), F.lit(0)), F.lit(1)) if hot else F.lit(1)
+    known = F.lit(nulls) + whole * step + inside + F.pmod(salt, equal)
+    return F.when(doc.isNull(), F.pmod(salt, F.lit(nulls))).otherwise(known).cast("int")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encodes every whole text, appends ``end_id``, and writes the ids below ``path`` in ascending doc_id order."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         from vecspark.llm.tokens import shared_tokenizer
 
-        encoder, part, end = shared_tokenizer(tokenizer_path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        done = number = 0
+        encoder, end = shared_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        part = done = number = 0
         names: list[int | None] = []
         ends: list[int] = []
         held: list[bytes] = []
@@ -145,7 +169,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in ROW.split(", ")])
 
         for batch in small_batches(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch, "text"), strict=True):
+            for doc, own, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), texts(batch, "text"), strict=True):
+                if own != part:
+                    if names:
+                        yield flush()
+                    part, done, number = own, 0, 0
                 ids = encoder.encode(text) + end
                 names.append(doc)
                 held.append(ids)
@@ -155,10 +183,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if names:
             yield flush()
 
-    # A cheap tie: it deals rows of one doc_id over several parts, without a hash of all texts while bounds are sampled.
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("tie", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    rows.mapInArrow(segments, ROW).write.parquet(path)
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", text_of().alias("text"), range_part(docs, parts).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(segments, ROW).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
