@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,8 +141,8 @@ def range_part(docs: DataFrame, parts: int) -> Column:
     whole = below(literal([g[-1] for g in groups]))
     inside = F.coalesce(below(F.get(F.array(*map(literal, groups)), whole)), F.lit(0))
     # A doc_id that fills parts has as many equal bounds; its rows are dealt over these parts.
-    hot = {b: bounds.count(b) for b in set(bounds)} if len(set(bounds)) < len(bounds) else {}
-    equal = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x).cast("bigint") for pair in hot.items() if pair[1] > 1 for x in pair]), lambda k, _: k == doc)), F.lit(0)), F.lit(1)) if hot else F.lit(1)
+    hot = {b: n for b, n in Counter(bounds).items() if n > 1}
+    equal = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("bigint") for pair in hot.items() for x in pair]), doc), F.lit(1)) if hot else F.lit(1)
     known = F.lit(nulls) + whole * step + inside + F.pmod(salt, equal)
     return F.when(doc.isNull(), F.pmod(salt, F.lit(nulls))).otherwise(known).cast("int")
 
