@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecspark import engine_queries
 from vecspark.config import HnswParams
 from vecspark.functions import vector as V
 from vecspark.operators import ann
@@ -147,6 +148,49 @@ def test_empty_graph():
     assert len(graph.search(np.zeros(4, np.float32), 3)[0]) == 0
 
 
+@pytest.mark.parametrize("metric", ["L2", "DOT", "COSINE"])
+@pytest.mark.parametrize("selection", ["SIMPLE", "HEURISTIC"])
+def test_many_find_no_less_than_one(gaussian, metric, selection, monkeypatch):
+    many, queries = (V.prepared(metric, x) for x in gaussian)
+    ords = np.arange(1500) * 3
+    graph = HnswGraph.build(metric, HnswParams(selection=selection), ords, many[:1500])
+    for ef, eligible in ((0, None), (16, None), (128, ords % 5 < 3), (1280, ords % 20 == 0), (64, ords < 0)):
+        allowed = np.arange(1500) if eligible is None else np.flatnonzero(eligible)
+        places, got, score = graph.search_many(queries, 10, ef, eligible)
+        hits = alone = 0
+        for i, q in enumerate(queries):
+            own = got[places == i]
+            want = {o for o, _ in naive(metric, ords[allowed], many[allowed], q, 10)}
+            assert (V.distances(metric, many[own // 3], q) == score[places == i]).all() and np.isin(own, ords[allowed]).all()
+            assert len(set(own.tolist())) == len(own) == min(10, len(allowed)) and (np.diff(score[places == i]) >= 0).all()
+            hits += len(want & set(own.tolist()))
+            alone += len(want & set(graph.search(q, 10, ef, eligible)[0].tolist()))
+        assert hits >= alone and (places == np.sort(places)).all()
+        # The same for queries that walk by themselves.
+        with monkeypatch.context() as patched:
+            patched.setattr("vecspark.operators.hnsw.WALK_CELLS", 1)
+            patched.setattr("vecspark.operators.hnsw.PAIR_FLOATS", 100)
+            assert all((a == b).all() for a, b in zip(graph.search_many(queries, 10, ef, eligible), (places, got, score), strict=True))
+
+
+def test_many_of_none():
+    graph = HnswGraph.build("L2", HnswParams(), np.zeros(0, np.int64), np.zeros((0, 4), np.float32))
+    assert [len(x) for x in graph.search_many(np.zeros((2, 4), np.float32), 3)] == [0, 0, 0]
+    graph = HnswGraph.build("L2", HnswParams(), np.array([9, 4, 7]), np.ones((3, 4), np.float32))
+    assert [len(x) for x in graph.search_many(np.zeros((0, 4), np.float32), 3)] == [0, 0, 0]
+    assert [x.tolist() for x in graph.search_many(np.zeros((2, 4), np.float32), 2)] == [[0, 0, 1, 1], [4, 7, 4, 7], [4, 4, 4, 4]]
+
+
+def test_filter_floors_build_graphs_and_search_them_once(spark, monkeypatch):
+    plans, search, reached = [], ann.search_index, engine_queries._reached
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(ann, "search_index", lambda index, *rest, **more: plans.append(plan(index)) or search(index, *rest, **more))
+    monkeypatch.setattr(engine_queries, "_reached", lambda got, truth: plans.append(plan(got)) or reached(got, truth))
+    rows = engine_queries.hnsw_filter_floors(spark, "/root/testdata/sf0.001").collect()
+    assert len(plans) == 8 and not any("Pandas" in x or "Arrow" in x for x in plans)
+    assert [tuple(r) for r in rows] == [(share, True, True) for share in (5, 10, 30, 60)]
+
+
 @pytest.mark.parametrize("bad", [{"m": 1}, {"ef_construction": 0}, {"ef_search": 0}, {"selection": "BEST"}])
 def test_bad_parameters(bad):
     with pytest.raises(ValueError):

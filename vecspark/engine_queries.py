@@ -245,12 +245,22 @@ def hnsw_recall_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "metric string, selection string, reached boolean")
 
 
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once to the shared folder and read back, where several actions need them."""
+    path = shared_root(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def hnsw_filter_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether searches among a share of the points reach their floor over every fiftieth point, and return only such points.
+    The graphs are built once for all shares."""
     rows, (points, index, queries) = [], _graphs(spark, sf_dir, 1000)
+    index = _kept(index, "floors")
     shards = max(1, -(-points.count() // 1000))
     for share in (5, 10, 30, 60):
         eligible = points.where(F.col("ord") % 100 < share)
-        got = ann.search_index(index, queries, 10, min(FilterConfig().max_ef, 64 * -(-100 // share)), eligible.select("ord"), shards)
+        got = _kept(ann.search_index(index, queries, 10, min(FilterConfig().max_ef, 64 * -(-100 // share)), eligible.select("ord"), shards), "hits")
         rows.append((share, _reached(got, batch_topk(eligible, queries, 10)), got.join(eligible, "ord", "left_anti").isEmpty()))
     return spark.createDataFrame(rows, "share int, reached boolean, only_eligible boolean")
 

@@ -41,6 +41,14 @@ class ShardIndex(Protocol):
     def search(self, q: np.ndarray, k: int, ef: int, eligible: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]: ...
 
 
+def _found(graph: ShardIndex, queries: np.ndarray, k: int, ef: int, eligible: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ordinals and scores of a shard's hits; one query after the other where a kind has no ``search_many``."""
+    if hasattr(graph, "search_many"):
+        return graph.search_many(queries, k, ef, eligible)
+    hits = [graph.search(q, k, ef, eligible) for q in queries]
+    return np.repeat(np.arange(len(hits)), [len(o) for o, _ in hits]), np.concatenate([o for o, _ in hits]), np.concatenate([s for _, s in hits])
+
+
 KINDS: dict[str, type[ShardIndex]] = {"HNSW": HnswGraph}
 
 
@@ -62,7 +70,9 @@ def build_index(points: DataFrame, metric: str, params: HnswParams = HnswParams(
         graph = made.build(metric, params, rows["ord"].to_numpy(), np.stack(rows["vector"].to_numpy()))
         return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "n": [len(rows)], "graph": [graph.to_bytes()]})
 
-    return points.select("ord", "vector", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(built, INDEX)
+    # About one task for each shard: by their bytes alone, small tables would be built by a task or two.
+    dealt = points.select("ord", "vector", shard_of(shards).alias("shard")).repartition(shards, "shard")
+    return dealt.groupBy("shard").applyInPandas(built, INDEX)
 
 
 def graph_rows(index: DataFrame, metric: str = "L2", params: HnswParams = HnswParams()) -> DataFrame:
@@ -97,9 +107,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = 0, elig
                 for data, allowed in zip(batch.column("graph"), batch.column("allowed"), strict=True):
                     graph = made.from_bytes(metric, params, data.as_py())
                     flags = np.isin(graph.ords, allowed.values.to_numpy()) if allowed.is_valid else None
-                    hits = [graph.search(q, k, ef, flags) for q in queries]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(qids, [len(o) for o, _ in hits])), pa.array(np.concatenate([o for o, _ in hits])), pa.array(np.concatenate([s for _, s in hits]))], names=["qid", "ord", "score"])
+                    places, ords, scores = _found(graph, queries, k, ef, flags)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[places]), pa.array(ords), pa.array(scores)], names=["qid", "ord", "score"])
 
         part = merge_topk(index.select("graph", "allowed").mapInArrow(found, "qid long, ord long, score float"), k)
         out = part if out is None else out.union(part)

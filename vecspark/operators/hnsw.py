@@ -3,7 +3,10 @@
 A node is on layer 0 and on every layer up to its level, which falls off by a factor of M. Its neighbours on a layer are
 chosen among the closest nodes that came before it, either the M closest (SIMPLE) or those that no chosen neighbour is
 closer to than the node itself (HEURISTIC), and links go both ways; a list that grows beyond its limit is chosen anew. The
-nodes before it are found exactly, a block of rows at a time, instead of by walking the unfinished graph."""
+nodes before it are found exactly, a block of rows at a time, instead of by walking the unfinished graph.
+
+Many queries walk together, in rounds: each round takes the neighbours of all nodes that the last one has brought among the
+ef best, so what a query walks through is at least what it would meet one node at a time."""
 
 from __future__ import annotations
 
@@ -19,6 +22,9 @@ BUILD_BLOCK = 1024
 #: Candidates that a search holds on layers above 0. SIMPLE graphs have few links between groups of points, so more ways down
 #: are needed for one to end in the right group.
 UPPER_EF = {"HEURISTIC": 16, "SIMPLE": 128}
+#: Queries times nodes that walk together, and vector components of what is scored together.
+WALK_CELLS, PAIR_FLOATS = 1 << 18, 1 << 18
+_NONE = np.iinfo(np.int64).max
 
 
 def draw_levels(ords: np.ndarray, params: HnswParams) -> np.ndarray:
@@ -182,6 +188,77 @@ class HnswGraph:
         order = np.lexsort((self.ords[nodes], score))[:k]
         return self.ords[nodes[order]], score[order]
 
+    def search_many(self, queries: np.ndarray, k: int, ef: int = 0, eligible: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``search`` finds for each of the queries (rows): the query's place, ordinals and exact distances, by place and
+        closeness."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        if self.entry < 0:
+            return out[0]
+        links, ef, block = [self._flat(x) for x in self.links], max(ef or self.params.ef_search, k), max(1, WALK_CELLS // len(self.ords))
+        for start in range(0, len(queries), block):
+            many = queries[start : start + block]
+            rows, nodes = np.arange(len(many)), np.full(len(many), self.entry)
+            for layer in range(len(links) - 1, 0, -1):
+                rows, nodes = self._rounds(many, rows, nodes, UPPER_EF[self.params.selection], links[layer])
+            rows, nodes = self._rounds(many, rows, nodes, ef, links[0], eligible)
+            # Component by component over contiguous arrays.
+            score = self._scored(many, rows, nodes, lambda v, q: V.distances(self.metric, np.asfortranarray(v), np.ascontiguousarray(q.T)))
+            order = np.lexsort((self.ords[nodes], score, rows))
+            rows, nodes, score = rows[order], nodes[order], score[order]
+            kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            out.append((start + rows[kept], self.ords[nodes[kept]], score[kept]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _flat(self, lists: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """A layer's links as (first, others): those of node n are others[first[n] : first[n + 1]]."""
+        first = np.zeros(len(self.ords) + 1, np.int64)
+        nodes = sorted(lists)
+        first[np.array(nodes) + 1] = [len(lists[n]) for n in nodes]
+        return np.cumsum(first), np.concatenate([lists[n] for n in nodes]).astype(np.int32)
+
+    def _scored(self, many: np.ndarray, rows: np.ndarray, nodes: np.ndarray, score) -> np.ndarray:
+        out, step = np.empty(len(rows), np.float32), max(1, PAIR_FLOATS // many.shape[1])
+        for a in range(0, len(rows), step):
+            out[a : a + step] = score(self.vectors[nodes[a : a + step]], many[rows[a : a + step]])
+        return out
+
+    def _near_pairs(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.metric == "L2":
+            v = v - q
+            return np.einsum("ij,ij->i", v, v)
+        return -np.einsum("ij,ij->i", v, q)
+
+    def _rounds(self, many: np.ndarray, rows: np.ndarray, nodes: np.ndarray, ef: int, links: tuple[np.ndarray, np.ndarray], eligible: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Up to ``ef`` nodes for each query that are near it, as pairs (row of the query, node) by row, from the given pairs on.
+
+        A node that is beyond the ef best when it is first seen stays beyond, as their limit only falls, so it is dropped at
+        once. Distance and node are one number: an order-preserving form of the float above, the node below."""
+        (first, others), n, count = links, len(self.ords), len(many)
+        width = min(ef, n if eligible is None else int(eligible.sum()))
+        if not width:
+            return rows[:0], nodes[:0]
+        seen, best = np.zeros(count * n, bool), np.full((count, width), _NONE)
+        while len(rows):
+            seen[rows * n + nodes] = True
+            bits = (self._scored(many, rows, nodes, self._near_pairs) + np.float32(0)).view(np.int32)
+            near = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) << 32 | nodes
+            own = slice(None) if eligible is None else eligible[nodes]
+            sizes = np.bincount(rows[own], minlength=count)
+            new = np.full((count, int(sizes.max())), _NONE)
+            new[rows[own], np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = near[own]
+            best = np.concatenate((best, new), axis=1)
+            best.partition(width - 1, axis=1)
+            best = best[:, :width]
+            inside = near <= best[:, -1][rows]
+            rows, nodes = rows[inside], nodes[inside]
+            sizes = first[nodes + 1] - first[nodes]
+            at = np.arange(int(sizes.sum())) + np.repeat(first[nodes] - np.cumsum(sizes) + sizes, sizes)
+            fresh = np.zeros(count * n, bool)
+            fresh[np.repeat((rows * n).astype(np.int32), sizes) + others[at]] = True
+            rows, nodes = np.divmod(np.flatnonzero(fresh & ~seen), n)
+        rows, at = np.nonzero(best != _NONE)
+        return rows, best[rows, at] & 0xFFFFFFFF
+
     def to_bytes(self) -> bytes:
         """The graph as plain arrays: a layer's links are its nodes, where each node's neighbours end, and all neighbours."""
         arrays = {"ords": self.ords, "vectors": self.vectors, "levels": self.levels}
