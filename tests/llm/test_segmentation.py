@@ -1,3 +1,4 @@
+import zlib
 from collections import Counter
 from math import exp, log
 
@@ -6,6 +7,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from vecspark.llm.queries import op4_segmentations
 from vecspark.llm.segmentation import Lattices, Vocabulary, mixed, sample_batch, segmentations
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +78,31 @@ def test_long_word_sums_in_logarithms():
     assert np.isfinite(short.log_mass).all()
 
 
+def test_short_words_of_many_bytes():
+    """Their product of weights is below the smallest float; it must neither cost samples nor reach other texts of a batch."""
+    rare = "".join(c for c in map(chr, range(0x1200, 0x1290)) if c not in PIECES)[:50]
+    many = [f"{rare} the quick brown fox", rare, f"in{rare}on", "plain words", "😀" * 40]
+    keys = np.arange(5, dtype=np.uint64)
+    got = sample_batch(many, keys, 2, VOCABULARY)
+    assert [len(x) for x in got] == [2, 1, 2, 2, 1]
+    for text, rows in zip(many, got, strict=True):
+        for symbols, log_p, score, inclusion in rows:
+            assert np.isfinite([log_p, score, inclusion]).all() and VOCABULARY.decode(VOCABULARY.ids(symbols)) == text
+    assert abs(sum(exp(r[1]) for r in got[1]) - 1) < 1e-9
+    alone = sample_batch(many[3:4], keys[3:4], 2, VOCABULARY)[0]
+    assert [r[0].tolist() for r in alone] == [r[0].tolist() for r in got[3]] and np.allclose([r[1:] for r in alone], [r[1:] for r in got[3]])
+
+
+def test_query_gives_the_segmentations(spark, tmp_path):
+    rows = [(1, "Some text\nwith  lines é ☃."), (2, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_segmentations(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 1, 3: 1}
+    for r in got:
+        assert MODEL.decode(r.ids) == (dict(rows)[r.doc_id] or "") and len(r.ids) == r.n_tokens
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
 def test_depends_on_row_alone():
     texts = ["some words", "the quick brown fox", "x" * 100, "", "a b c"]
     keys = mixed(np.arange(5, dtype=np.uint64))

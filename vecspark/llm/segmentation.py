@@ -38,8 +38,9 @@ from vecspark.llm.common import bounded_batches, small_batches, text_of, texts
 from vecspark.llm.language_id import HashTable
 
 SHIFT = 2.7
-#: Words longer than this are summed in logarithms.
-LONG_WORD = 60
+#: Words longer than this are summed in logarithms, and those with a path of a lower log weight: a product of bytes' weights
+#: may be below the smallest float (e^-708) in words that are much shorter.
+LONG_WORD, LEAST_LOG = 60, -650.0
 #: Places of a path that are looked at first for branches; noise is below MOST_NOISE, as ``uniform`` is below 1 - 2^-53.
 FIRST_PLACES, MOST_NOISE = 128, 36.8
 _SPACE = 0x2581
@@ -163,7 +164,10 @@ class Lattices:
             weight[lone] = vocabulary.log_byte * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         self.log_mass = np.zeros(len(points))
         left = np.minimum(end_of - np.arange(len(points)), LONG_WORD + 1)
-        long = np.repeat(sizes, sizes + 1) > LONG_WORD
+        # A node's first edge is one character, so this is the path of single characters, and no mass is below its weight.
+        alone = np.zeros(len(points))
+        alone[at] = weight[self.first[at]]
+        long = np.repeat((sizes > LONG_WORD) | (np.add.reduceat(alone, self.root) < LEAST_LOG), sizes + 1)
         self._backward(at[~long[at]][np.argsort(left[at[~long[at]]].astype(np.uint8), kind="stable")], left, weight, False)
         if long.any():
             own = at[long[at]]
@@ -354,25 +358,30 @@ def sample_batch(many: list[str], keys: np.ndarray, k: int, vocabulary: Vocabula
 
 def segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 0, alpha: float = 1.0, digest: bool = False) -> DataFrame:
     """A row for each sample: doc_id, rank (from 1), n_tokens, log_p, score, log_inclusion, decoded (whether decoding gives
-    the text), and ids, or with ``digest`` their crc32 (little-endian unsigned 32-bit integers)."""
+    the text), ids, and with ``digest`` their crc32 too (little-endian unsigned 32-bit integers)."""
     bounded_batches(docs.sparkSession)
-    base = "doc_id long, rank int, n_tokens long, log_p double, score double, log_inclusion double, decoded boolean"
-    schema = f"{base}, {'ids_crc32 long' if digest else 'ids array<int>'}"
+    base = "doc_id long, rank int, n_tokens long, log_p double, score double, log_inclusion double, decoded boolean, ids array<int>"
+    schema = base + ", ids_crc32 long" * digest
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64() if digest else pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared_vocabulary(model_path, alpha)
         for batch in small_batches(batches, "text"):
             docs_of, many = batch.column("doc_id").to_pylist(), texts(batch, "text")
             keys = mixed(np.array([(d or 0) % (1 << 64) for d in docs_of], np.uint64)) + np.uint64(seed % (1 << 64)) * _STEP
-            rows = []
+            rows, parts = [], []
             for doc, text, found in zip(docs_of, many, sample_batch(many, keys, k, vocabulary), strict=True):
                 # A word-separator sign in the text itself comes back as the space that it stands for.
                 want = text.replace("▁", " ")
                 for rank, (symbols, log_p, score, inclusion) in enumerate(found, 1):
                     ids = vocabulary.ids(symbols)
-                    rows.append((doc, rank, len(ids), log_p, score, inclusion, vocabulary.decode(ids) == want, zlib.crc32(ids.tobytes()) if digest else ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+                    rows.append((doc, rank, len(ids), log_p, score, inclusion, vocabulary.decode(ids) == want))
+                    parts.append(ids)
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int32))))
+            if digest:
+                columns.append(pa.array([zlib.crc32(x) for x in parts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(sampled, schema)
