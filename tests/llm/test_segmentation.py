@@ -1,12 +1,15 @@
+import tracemalloc
 import zlib
 from collections import Counter
 from math import exp, log
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
+from vecspark.llm import segmentation
 from vecspark.llm.queries import op4_segmentations
 from vecspark.llm.segmentation import Lattices, Vocabulary, mixed, sample_batch, segmentations
 
@@ -128,3 +131,35 @@ def test_table(spark):
     other = segmentations(df, PATH, k=3, seed=1).collect()
     assert sorted(map(str, got)) != sorted(map(str, other))
     assert segmentations(df.limit(0), PATH, digest=True).collect() == []
+
+
+def test_portions_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 12, 300)] + ["é☃" * 50, "x" * 200, "ก" * 40]
+    texts = [" ".join(rng.choice(words, n)) for n in (40, 0, 1, 300, 7, 0, 90)] + ["", "\n "]
+    keys = mixed(np.arange(len(texts), dtype=np.uint64))
+    at_once = sample_batch(texts, keys, 3, VOCABULARY)
+    for name in ("BUILT_CHARACTERS", "WALKED_CHARACTERS", "MOST_PLACES"):
+        monkeypatch.setattr(segmentation, name, 20)
+    for got, want in zip(sample_batch(texts, keys, 3, VOCABULARY), at_once, strict=True):
+        assert [r[0].tolist() for r in got] == [r[0].tolist() for r in want] and np.allclose([r[1:] for r in got], [r[1:] for r in want])
+
+
+def test_worker_holds_one_part(spark, monkeypatch):
+    """The rows of a part are given before the next part is drawn; lattices are built in portions."""
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 10, 60_000)])
+    many = [" ".join(rng.choice(words, 800)) for _ in range(400)]
+    df = spark.createDataFrame([(1, "")], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, function, schema: function)
+    sampled = segmentations(df, PATH, k=2, digest=True)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(many))), "text": many})
+    rows, largest = 0, 0
+    tracemalloc.start()
+    try:
+        for out in sampled(iter([batch])):
+            rows, largest = rows + out.num_rows, max(largest, out.nbytes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2 * len(many) and largest < 4e6 and peak < 100e6

@@ -9,8 +9,9 @@ the bound a best path inside is drawn by walking down the lattice. What branches
 whose bounds are Gumbel variables cut off at the walked node's bound. So a node's bound is met by the path drawn from it,
 the search never turns back, and the paths come out in the order of their scores, all distinct.
 
-No piece crosses a space or line break, so the lattice is a chain of word lattices; those of a batch's distinct words are
-built together, and walks go through all words of all texts of the batch at once. Random numbers are hashes of the seed,
+No piece crosses a space or line break, so the lattice is a chain of word lattices. Those of a batch's distinct words are
+held together but built in portions, and walks go through all words of a part of the batch's texts at once, whose rows are
+given before the next part's, so that a worker's memory is little more than these lattices. Random numbers are hashes of the seed,
 the row's key, the sample, the word and the step, so a row has the same samples wherever and however often it is computed.
 
 The inclusion score of a path is the logarithm of the probability that its score exceeds the highest score not drawn,
@@ -25,9 +26,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,9 @@ SHIFT = 2.7
 LONG_WORD, LEAST_LOG = 60, -650.0
 #: Places of a path that are looked at first for branches; noise is below MOST_NOISE, as ``uniform`` is below 1 - 2^-53.
 FIRST_PLACES, MOST_NOISE = 128, 36.8
+#: Characters of distinct words whose lattices are built together, and of texts that are walked together (one at least of
+#: each); places of paths that are looked at together. They bound memory and change no result.
+BUILT_CHARACTERS, WALKED_CHARACTERS, MOST_PLACES = 50_000, 500_000, 1 << 18
 _SPACE = 0x2581
 _UNITS = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 _BASE, _STEP, _WORD, _SAMPLE = (np.uint64(x) for x in (0x100000001B3, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
@@ -110,6 +115,18 @@ class Vocabulary:
         return out[1:] if out.startswith(" ") else out
 
 
+def _portions(strings: list[str], most: int) -> Iterator[slice]:
+    """Slices of about ``most`` characters each, one string at least."""
+    start = total = 0
+    for i, s in enumerate(strings):
+        if i > start and total + len(s) > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += len(s)
+    if start < len(strings):
+        yield slice(start, len(strings))
+
+
 @lru_cache(maxsize=2)
 def shared_vocabulary(path: str, alpha: float) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -120,6 +137,30 @@ class Lattices:
     edge's log probability among those of its node, and ``within`` the sum of probabilities of its node's edges up to it."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
+        # Portions are appended to arrays with room for what is to come, as joining them at the end would take twice the memory.
+        whole, size, nodes, edges, todo = {}, {}, 0, 0, sum(map(len, words)) + len(words)
+        for portion in _portions(words, BUILT_CHARACTERS):
+            self._build(words[portion], vocabulary)
+            before, nodes = nodes, nodes + len(self.final)
+            self.root += before
+            self.source += before
+            self.target += before
+            self.first = self.first[:-1] + edges
+            edges += len(self.symbol)
+            for name, new in vars(self).items():
+                n = size.get(name, 0)
+                size[name] = n + len(new)
+                if size[name] >= len(whole.get(name, ())):
+                    longer = np.empty(max(size[name] + 1, size[name] * todo // nodes * 11 // 10), new.dtype)
+                    longer[:n] = whole.get(name, new)[:n]
+                    whole[name] = longer
+                whole[name][n : size[name]] = new
+        whole["first"][nodes] = edges
+        size["first"] += 1
+        for name, array in whole.items():
+            setattr(self, name, array[: size[name]])
+
+    def _build(self, words: list[str], vocabulary: Vocabulary) -> None:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         self.root = ends - sizes
@@ -241,19 +282,30 @@ def _gumbel(u: np.ndarray) -> np.ndarray:
 
 def sample_batch(many: list[str], keys: np.ndarray, k: int, vocabulary: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its k segmentations or fewer, by falling score: symbols, log probability, score, inclusion score."""
-    units = [_UNITS.findall(" " + t) if t else [] for t in many]
-    flat = list(chain.from_iterable(units))
-    index = dict.fromkeys(flat)
-    index = dict(zip(index, range(len(index)), strict=True))
-    word = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-    sizes = np.fromiter(map(len, units), np.int64, len(units))
-    del units, flat
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    found = [_Text(int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
-    if not len(index):
-        return [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0)] for _ in many]
+    return list(chain.from_iterable(sample_parts(many, keys, k, vocabulary)))
+
+
+def sample_parts(many: list[str], keys: np.ndarray, k: int, vocabulary: Vocabulary) -> Iterator[list[list[tuple[np.ndarray, float, float, float]]]]:
+    """What ``sample_batch`` gives, for one part of the texts after the other."""
+    index: defaultdict[str, int] = defaultdict(count().__next__)
+    words = []
+    for t in many:
+        units = _UNITS.findall(" " + t) if t else []
+        words.append(np.fromiter(map(index.__getitem__, units), np.int32, len(units)))
+    if not index:
+        yield [[(np.zeros(0, np.int64), 0.0, 0.0, 0.0)] for _ in many]
+        return
     lattices = Lattices(list(index), vocabulary)
+    del index
+    for part in _portions(many, WALKED_CHARACTERS):
+        yield _sampled(words[part], keys[part], k, lattices)
+
+
+def _sampled(words_of_texts: list[np.ndarray], keys: np.ndarray, k: int, lattices: Lattices) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    word = np.concatenate(words_of_texts)
+    ends = np.cumsum([len(x) for x in words_of_texts])
+    starts = np.concatenate(([0], ends[:-1]))
+    found = [_Text(int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
     roots = lattices.root[word]
     keys = mixed(keys.astype(np.uint64))
     word_keys = np.repeat(keys, ends - starts) + (np.arange(len(word)) - np.repeat(starts, ends - starts)).astype(np.uint64) * _WORD
@@ -311,7 +363,7 @@ def sample_batch(many: list[str], keys: np.ndarray, k: int, vocabulary: Vocabula
                 width = int(widths.max(initial=0))
                 if not width:
                     continue
-                if len(rows) * width > 1 << 22 and len(rows) > 1:
+                if len(rows) * width > MOST_PLACES and len(rows) > 1:
                     half = len(rows) // 2
                     groups += [(rows[:half], widths[:half]), (rows[half:], widths[half:])]
                     continue
@@ -365,23 +417,29 @@ def segmentations(docs: DataFrame, model_path: str, k: int = 2, seed: int = 0, a
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
 
+    def rows_of(docs_of: list[int | None], many: list[str], part: list[list[tuple[np.ndarray, float, float, float]]], vocabulary: Vocabulary) -> pa.RecordBatch:
+        rows, parts = [], []
+        for doc, text, found in zip(docs_of, many, part, strict=True):
+            # A word-separator sign in the text itself comes back as the space that it stands for.
+            want = text.replace("▁", " ")
+            for rank, (symbols, log_p, score, inclusion) in enumerate(found, 1):
+                ids = vocabulary.ids(symbols)
+                rows.append((doc, rank, len(ids), log_p, score, inclusion, vocabulary.decode(ids) == want))
+                parts.append(ids)
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int32))))
+        if digest:
+            columns.append(pa.array([zlib.crc32(x) for x in parts], pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared_vocabulary(model_path, alpha)
         for batch in small_batches(batches, "text"):
             docs_of, many = batch.column("doc_id").to_pylist(), texts(batch, "text")
             keys = mixed(np.array([(d or 0) % (1 << 64) for d in docs_of], np.uint64)) + np.uint64(seed % (1 << 64)) * _STEP
-            rows, parts = [], []
-            for doc, text, found in zip(docs_of, many, sample_batch(many, keys, k, vocabulary), strict=True):
-                # A word-separator sign in the text itself comes back as the space that it stands for.
-                want = text.replace("▁", " ")
-                for rank, (symbols, log_p, score, inclusion) in enumerate(found, 1):
-                    ids = vocabulary.ids(symbols)
-                    rows.append((doc, rank, len(ids), log_p, score, inclusion, vocabulary.decode(ids) == want))
-                    parts.append(ids)
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int32))))
-            if digest:
-                columns.append(pa.array([zlib.crc32(x) for x in parts], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at = 0
+            for part in sample_parts(many, keys, k, vocabulary):
+                yield rows_of(docs_of[at : at + len(part)], many[at : at + len(part)], part, vocabulary)
+                at += len(part)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(sampled, schema)
